@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from lorebase.session import cut
 
 FIT_ROWS = 32_768
-LEAF_ROWS = 512
+LEAF_ROWS = 2_048
 MAX_LEAVES = 16_384
-PART_ROWS = 4_096
+PART_ROWS = 8_192
 SLACK = 0.004  # what 16-bit rounding can take from a similarity, and a margin
 
 
@@ -187,9 +187,11 @@ def _matrix(column, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float16).reshape(-1, size).astype(np.float32)
 
 
-def sampled(reps: DataFrame, size: int, fit_rows: int) -> np.ndarray:
-    rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("half").toPandas()
-    x = _matrix(rows["half"], size) if len(rows) else np.zeros((0, size), np.float32)
+def sampled(reps: DataFrame, rows: int, size: int, fit_rows: int) -> np.ndarray:
+    """About fit_rows of the rows classes, chosen by a hash of their names, so each task sends its own share only."""
+    share = min(1.0, fit_rows / max(1, rows))
+    chosen = reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "half").toPandas().sort_values("rep")
+    x = _matrix(chosen["half"], size) if len(chosen) else np.zeros((0, size), np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -241,10 +243,11 @@ def _pairs_in_leaf(size: int, least: float):
 def similar_classes(reps: DataFrame, size: int, least: float, recall: float = 0.999, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Candidate pairs (a, b) of classes with similarity of about least or more, a < b."""
     spark = reps.sparkSession
-    sample = sampled(reps, size, fit_rows)
+    rows = reps.count()
+    sample = sampled(reps, rows, size, fit_rows)
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
-    tree = fit(sample, reps.count())
+    tree = fit(sample, rows)
     tree.visits = visits_for_pairs(tree, sample, least, recall)
     spread = reps.select("rep", "half").mapInPandas(_spread(spark.sparkContext.broadcast(tree), size, False), "leaf int, part int, rep long, half binary, home boolean")
     return spread.groupBy("leaf", "part").applyInPandas(_pairs_in_leaf(size, least - SLACK), "a long, b long").distinct()
@@ -308,11 +311,12 @@ def nearest(df: DataFrame, queries: Column, key: str, vector: str, size: int, k:
     spark = df.sparkSession
     halves = cut(usable(df, key, vector, size))
     reps = cut(halves.groupBy("half").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.bool_or(queries).alias("asked")))
-    sample = sampled(reps, size, fit_rows)
+    rows = reps.count()
+    sample = sampled(reps, rows, size, fit_rows)
     schema = "id long, neighbour long, similarity double, place int"
     if not len(sample):
         return spark.createDataFrame([], schema)
-    tree = fit(sample, reps.count())
+    tree = fit(sample, rows)
     tree.visits = visits_for_nearest(tree, sample, k, recall)
     spread = reps.mapInPandas(_spread(spark.sparkContext.broadcast(tree), size, True), "leaf int, part int, rep long, half binary, home boolean")
     met = spread.groupBy("leaf", "part").applyInPandas(_nearest_in_leaf(size, k), "a long, b long, s float")
