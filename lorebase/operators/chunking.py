@@ -8,6 +8,7 @@ chunk, are folds, and they fold over lengths, never over texts.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorebase.functions.vectors import cosine_similarity
+
 from lorebase.operators.ordinals import dense_ordinals, previous, running_sum
+from lorebase.session import cut
 
 # fixed values of the data model
 GAP_MINUTES = 30
@@ -72,39 +75,43 @@ def significance(kind: Column, greeting: Column) -> Column:
     return F.lit(3) + F.when(kind == "topic", 0).otherwise(1) - F.when(greeting, 1).otherwise(0)
 
 
-def _merge_run(run: pd.DataFrame) -> pd.DataFrame:
-    """Greedy merge of the small groups of one run: head is the first group of the merged one."""
-    run = run.sort_values("piece")
-    heads, head, size = [], None, 0
-    for piece, length in zip(run["piece"], run["length"], strict=True):
-        if head is not None and size // CHARS_PER_TOKEN + length // CHARS_PER_TOKEN < MERGE_TOKENS:
-            size += 2 + length
-        else:
-            head, size = piece, length
-        heads.append(head)
-    return run.assign(head=heads)[["session_id", "piece", "head"]]
+def _merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy merge of small groups, run after run as they come in order; head is the first group of the merged one."""
+    run, head, size = None, None, 0
+    for batch in batches:
+        heads = []
+        for session, number, piece, length in zip(batch["session_id"], batch["run"], batch["piece"], batch["length"], strict=True):
+            if (session, number) == run and size // CHARS_PER_TOKEN + length // CHARS_PER_TOKEN < MERGE_TOKENS:
+                size += 2 + length
+            else:
+                run, head, size = (session, number), piece, length
+            heads.append(head)
+        yield pd.DataFrame({"session_id": batch["session_id"], "piece": batch["piece"], "head": heads})
 
 
 def merged_pieces(messages: DataFrame) -> DataFrame:
     """messages with piece (turn cut at time gaps) and head, the first piece of the chunk before splitting."""
-    sized = messages.withColumn("length", F.length(spoken(F.col("role"), F.col("content"))).cast("long"))
-    turns = gap_segments(turn_groups(sized), "session_id", "ordinal", "spoken_at")
-    # a turn starts where turn_group grows, a piece also after a gap
-    grown = previous(turns, ["session_id"], "ordinal", ["turn_group"])
-    starts = grown.withColumn("__new", (F.col("prev_turn_group").isNull() | (F.col("turn_group") > F.col("prev_turn_group")) | F.col("after_gap")).cast("long"))
-    placed = running_sum(starts, ["session_id"], "ordinal", "__new", "piece").drop("__new", "prev_turn_group").withColumn("piece", F.col("piece") - 1)
-    groups = placed.groupBy("session_id", "piece").agg(
+    sized = cut(messages.withColumn("length", F.length(spoken(F.col("role"), F.col("content"))).cast("long")))
+    places = sized.select("session_id", "ordinal", "role", "spoken_at")
+    before = previous(places, ["session_id"], "ordinal", ["spoken_at"])
+    gap = F.col("spoken_at").cast("double") - F.col("prev_spoken_at").cast("double") > GAP_MINUTES * 60
+    marked = before.withColumn("after_gap", F.coalesce(gap, F.lit(False)))
+    starts = marked.withColumn("__new", (F.col("after_gap") | ((F.col("role") == "human") & (F.col("ordinal") > 0))).cast("long"))
+    pieces = running_sum(cut(starts.select("session_id", "ordinal", "after_gap", "__new")), ["session_id"], "ordinal", "__new", "piece").drop("__new")
+    placed = cut(sized.join(pieces, ["session_id", "ordinal"]))
+    groups = cut(placed.groupBy("session_id", "piece").agg(
         (F.sum("length") + 2 * (F.count("*") - 1)).alias("length"),
         F.min_by("after_gap", "ordinal").alias("after_gap"),
         F.min_by(greets(F.col("role"), F.col("content")), "ordinal").alias("greets"),
-    )
+    ))
     boot = groups.filter("piece = 0").select("session_id", F.col("greets").alias("boot"))
     ordered = previous(groups, ["session_id"], "piece", ["length"]).join(boot, "session_id")
     big = lambda c: F.floor(F.col(c) / CHARS_PER_TOKEN) >= MERGE_TOKENS
     fresh = F.col("after_gap") | big("length") | F.coalesce(big("prev_length"), F.lit(True)) | (F.col("boot") & (F.col("piece") == 1))
-    runs = running_sum(ordered.withColumn("__f", fresh.cast("long")), ["session_id"], "piece", "__f", "run")
-    heads = runs.select("session_id", "run", "piece", "length").groupBy("session_id", "run").applyInPandas(_merge_run, "session_id string, piece long, head long")
-    return placed.join(heads, ["session_id", "piece"])
+    runs = running_sum(cut(ordered.withColumn("__f", fresh.cast("long")).select("session_id", "piece", "length", "__f")), ["session_id"], "piece", "__f", "run")
+    rows = runs.select("session_id", "run", "piece", "length").repartition("session_id", "run").sortWithinPartitions("session_id", "run", "piece")
+    heads = rows.mapInPandas(_merge_runs, "session_id string, piece long, head long")
+    return cut(placed.join(heads, ["session_id", "piece"]))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -168,11 +175,13 @@ def chunked(messages: DataFrame) -> DataFrame:
     size = pieces.groupBy("session_id", "head").agg((F.sum("length") + 2 * (F.count("*") - 1)).alias("chunk_length"))
     placed = pieces.join(size, ["session_id", "head"])
     over = F.floor(F.col("chunk_length") / CHARS_PER_TOKEN) > SPLIT_TOKENS
-    # posexplode keeps the order of fragments; only cut messages have more than one
-    cut = placed.select("*", F.posexplode(F.when(over, fragments("content")).otherwise(F.array("content"))).alias("fragment", "text"))
-    narrow = cut.filter(over).select("session_id", "head", "ordinal", F.col("fragment").cast("int"), F.length("content").cast("long").alias("message_length"), "length", F.length("text").cast("long").alias("fragment_length"))
+    placed = cut(placed.withColumn("over", over))
+    # only oversized chunks see the splitter, and there only long messages are cut
+    whole = placed.filter("NOT over").select("session_id", "head", "ordinal", F.lit(0).alias("fragment"), "rec_id", "role", F.col("content").alias("text"), F.lit(0).alias("part"))
+    cuts = placed.filter("over").select("*", F.posexplode(fragments("content")).alias("fragment", "text"))
+    narrow = cuts.select("session_id", "head", "ordinal", "fragment", F.length("content").cast("long").alias("message_length"), "length", F.length("text").cast("long").alias("fragment_length"))
     parts = narrow.groupBy("session_id", "head").applyInPandas(_split_chunk, "session_id string, head long, ordinal long, fragment int, part int")
-    rows = cut.join(parts, ["session_id", "head", "ordinal", "fragment"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    rows = whole.unionByName(cuts.join(parts, ["session_id", "head", "ordinal", "fragment"]).select(whole.columns))
     line = F.struct("ordinal", "fragment", "rec_id", "role", "text")
     out = rows.groupBy("session_id", "head", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     said = lambda x: spoken(x["role"], x["text"])

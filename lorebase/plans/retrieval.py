@@ -108,7 +108,7 @@ def conversation_titles(spark: SparkSession, root: str) -> DataFrame:
 
 def recent_conversations(spark: SparkSession, root: str) -> DataFrame:
     """The ten newest conversations since midnight, Melbourne time, seven days before."""
-    local = F.date_trunc("day", F.from_utc_timestamp(F.lit(AS_OF).cast("timestamp"), "Australia/Melbourne")) - F.expr("INTERVAL 7 DAYS")
+    local = F.date_trunc("day", F.from_utc_timestamp(F.lit("2026-04-05 03:00:00").cast("timestamp"), "Australia/Melbourne")) - F.expr("INTERVAL 7 DAYS")
     rows = table(spark, root, "conversations").filter(F.col("started_at") >= F.to_utc_timestamp(local, "Australia/Melbourne"))
     return rows.orderBy(F.col("started_at").desc(), "id").limit(10).select("id", "session_id", "started_at")
 
@@ -238,7 +238,7 @@ SELECT query_id, id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER
     "conversation_transcript": f"WITH {MESSAGES} SELECT session_id, ordinal, role, length(content) AS n_chars FROM msgs WHERE session_id = (SELECT session_id FROM conversations WHERE id = 1)",
     "conversation_titles": rf"""WITH {MESSAGES}, f AS (SELECT session_id, trim(replace(arg_min(content, ordinal), chr(10), ' ')) AS t FROM msgs WHERE role = 'human' GROUP BY session_id)
 SELECT session_id, CASE WHEN t IS NULL THEN 'Untitled conversation' WHEN length(t) <= 80 THEN t ELSE coalesce(nullif(regexp_extract(t[1:77], '^(.*) [^ ]*$', 1), ''), t[1:77]) || '...' END AS name FROM (SELECT DISTINCT session_id FROM msgs) LEFT JOIN f USING (session_id)""",
-    "recent_conversations": f"""SELECT id, session_id, started_at FROM conversations WHERE started_at >= (date_trunc('day', TIMESTAMPTZ '{AS_OF}+00' AT TIME ZONE 'Australia/Melbourne') - INTERVAL 7 DAYS) AT TIME ZONE 'Australia/Melbourne' ORDER BY started_at DESC, id LIMIT 10""",
+    "recent_conversations": f"""SELECT id, session_id, started_at FROM conversations WHERE started_at >= (date_trunc('day', TIMESTAMPTZ '2026-04-05 03:00:00+00' AT TIME ZONE 'Australia/Melbourne') - INTERVAL 7 DAYS) AT TIME ZONE 'Australia/Melbourne' ORDER BY started_at DESC, id LIMIT 10""",
     "entity_lookup_exact_first": "SELECT id, name, CASE WHEN lower(name) = 'flebedotol' THEN 0 ELSE 1 END::BIGINT AS match_class FROM entities WHERE contains(lower(name), 'flebedotol') ORDER BY match_class, access_count DESC NULLS FIRST, id LIMIT 10",
     "entity_chunk_profile": "SELECT k.id, conversation_id, significance::BIGINT AS significance, started_at FROM chunks k JOIN conversations c ON c.id = conversation_id WHERE k.id IN (SELECT chunk_id FROM entity_chunks WHERE entity_id = 1) ORDER BY k.significance DESC NULLS FIRST, started_at DESC NULLS FIRST, k.id LIMIT 20",
     "boot_snapshot": f"SELECT id, name, access_count::BIGINT AS access_count FROM entities WHERE updated_at >= TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 7 DAYS AND access_count >= 3 ORDER BY access_count DESC, updated_at DESC, id LIMIT 10",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage ends here and the rows survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables, below the one all executors share."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
