@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorebase.llm.quality import NAMES, junk, profiles, tails
+from lorebase.session import cut
 from lorebase.sources.tables import table
 
 
@@ -21,7 +22,7 @@ def p10_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
-    scored = tails(profiles(documents(spark, root)))
+    scored = tails(cut(profiles(documents(spark, root))))
     return scored.select("doc_id", "language", *(f"z_{n}" for n in NAMES))
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.session import cut
+
 # Common words by language, without articles, which lists and menus use as well.
 COMMON = {
     "en": "of and to in is it that was for on with as be this but not we are or from by have has had were they if there will would can no do my your out up about what when which then than them their our been some only also am i you an before at because until who whether still must could every since after so all any nor there back while said here very each more other over under without",
@@ -117,5 +119,5 @@ def tails(measured: DataFrame, names: tuple[str, ...] = NAMES, floor: float = 0.
 
 def junk(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", deep: float = 3.0) -> DataFrame:
     """Keys of texts in the low tail of prose_share (z or g below -deep) whose prose is also less than half of them."""
-    scored = tails(profiles(docs, key, text, lang), ("prose_share", "common_share", "symbol_ratio"))
+    scored = tails(cut(profiles(docs, key, text, lang)), ("prose_share", "common_share", "symbol_ratio"))
     return scored.filter(((F.col("z_prose_share") < -deep) | (F.col("g_prose_share") < -deep)) & (F.col("prose_share") < 0.5))
