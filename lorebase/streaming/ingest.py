@@ -66,6 +66,6 @@ def land(stream: DataFrame, out: str, state: str, mode: str = "append") -> None:
     stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def land_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], state: str) -> None:
+def land_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
     """The same with a function for each batch, such as an anti-join with what is stored and an append."""
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
