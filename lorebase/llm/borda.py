@@ -33,16 +33,16 @@ def value_ranks(values: DataFrame, group: Sequence[str], bucket_rows: int = BUCK
     counts = cut(values.filter("value IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("ties")))
     # cuts only for groups with too many values; the list of quantiles has a fixed length
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
-    hot = None if sizes.isEmpty() else counts.join(sizes.drop("n"), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
+    hot = None if sizes.isEmpty() else _nullsafe_join(counts, sizes.drop("n"), keys, "inner").groupBy(*keys).agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
     if hot is None:
         order = Window.partitionBy(*keys).orderBy(F.col("value").desc())
         return counts.withColumn("better", F.sum("ties").over(order) - F.col("ties"))
-    placed = counts.join(hot, keys, "left").withColumn("bucket", F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda c: c < F.col("value")))).otherwise(0)).drop("cuts")
+    placed = _nullsafe_join(counts, hot, keys, "left").withColumn("bucket", F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda c: c < F.col("value")))).otherwise(0)).drop("cuts")
     inside = Window.partitionBy(*keys, "bucket").orderBy(F.col("value").desc())
     above = Window.partitionBy(*keys).orderBy(F.col("bucket").desc())
     totals = placed.groupBy(*keys, "bucket").agg(F.sum("ties").alias("size"))
     totals = totals.withColumn("base", F.sum("size").over(above) - F.col("size")).drop("size")
-    return placed.join(totals, [*keys, "bucket"]).withColumn("better", F.col("base") + F.sum("ties").over(inside) - F.col("ties")).drop("bucket", "base")
+    return _nullsafe_join(placed, totals, [*keys, "bucket"], "inner").withColumn("better", F.col("base") + F.sum("ties").over(inside) - F.col("ties")).drop("bucket", "base")
 
 
 def borda(df: DataFrame, group: Sequence[str], item: str, scores: Mapping[str, float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:

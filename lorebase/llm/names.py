@@ -121,7 +121,7 @@ def proper(text: str, own: list[list[str]], person: bool) -> bool:
     return len([t for t in mine if len(t) > 1]) >= 2 and not set(fold(text).split()) & ROLES and text[:1].isupper()
 
 
-SPELLINGS = "id long, kind string, is_name boolean, full array<string>, initials array<string>, login boolean"
+SPELLINGS = "id long, kind string, is_name boolean, full array<string>, initials array<string>, login boolean, said string"
 
 
 def _spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +137,10 @@ def _spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 full = sorted({t for t in found if len(t) > 1})
                 if full:
                     login = person and len(found) == 1 and text.strip().islower() and " " not in text.strip()
-                    rows.append((key, kind, is_name, full, sorted({t for t in found if len(t) == 1}), login))
-        yield pd.DataFrame(rows, columns=["id", "kind", "is_name", "full", "initials", "login"])
+                    # what a weak spelling must share with an alias to be the same: for organisations its legal form as well
+                    said = sorted(found) if person else sorted(t for t in re.findall(r"[^\W_]+", fold(text)) if t not in ("the", "of", "and"))
+                    rows.append((key, kind, is_name, full, sorted({t for t in found if len(t) == 1}), login, " ".join(said)))
+        yield pd.DataFrame(rows, columns=["id", "kind", "is_name", "full", "initials", "login", "said"])
 
 
 def spellings(df: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
@@ -231,8 +233,8 @@ def one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def weak_links(every: DataFrame, clusters: DataFrame, open_: DataFrame) -> DataFrame:
     """Links from weak rows to the one cluster that fits. open_: ids still without a cluster."""
-    profile = every.join(clusters, "id").select("cluster", "kind", "full", "initials", "is_name")
-    known = profile.mapInPandas(_profiles, PROFILES).distinct()
+    profile = every.join(clusters, "id").select("cluster", "kind", "full", "initials", "is_name", "said")
+    known = profile.drop("said").mapInPandas(_profiles, PROFILES).distinct()
     weak = every.join(open_, "id").filter("is_name")
     reading = weak.select("id", "kind", "full", "initials", "login").mapInPandas(_readings, WEAK).distinct()
     # a key of thousands of clusters (a given name) cannot decide anything; only how many there are matters
@@ -240,8 +242,8 @@ def weak_links(every: DataFrame, clusters: DataFrame, open_: DataFrame) -> DataF
     met = reading.join(near, ["kind", "key"]).filter((F.col("initial") == "") | F.instr(F.col("letters"), F.col("initial")).cast("boolean"))
     met = met.filter(one_slip("family", "spelling")).withColumn("tier", F.when(F.col("family") == F.col("spelling"), 1).otherwise(2))
     # the very spelling among a cluster's weak aliases goes before all
-    weak_alias = profile.filter(F.size("full") == 1).groupBy("kind", "full", "initials").agg(F.min("cluster").alias("c1"), F.max("cluster").alias("c2"))
-    same = weak.select("id", "kind", "full", "initials").join(weak_alias, ["kind", "full", "initials"]).select("id", "c1", "c2", F.lit(0).alias("tier"))
+    weak_alias = profile.filter(F.size("full") == 1).groupBy("kind", "said").agg(F.min("cluster").alias("c1"), F.max("cluster").alias("c2"))
+    same = weak.select("id", "kind", "said").join(weak_alias, ["kind", "said"]).select("id", "c1", "c2", F.lit(0).alias("tier"))
     tiers = met.select("id", "c1", "c2", "tier").unionByName(same).groupBy("id", "tier").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2"))
     best = tiers.withColumn("t", F.min("tier").over(Window.partitionBy("id"))).filter("tier = t AND c1 = c2")
     return best.select(F.col("id").alias("src"), F.col("c1").alias("dst"))

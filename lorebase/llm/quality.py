@@ -42,7 +42,7 @@ def is_prose(segment: str) -> bool:
         return False
     common = sum(w in WORDS for w in words) / len(words)
     letters = sum(map(len, words)) / max(1, len(_BLANK.sub("", segment)))
-    return common >= 0.14 and letters >= 0.65 and len(set(words)) >= max(3, 0.02 * len(words))
+    return common >= 0.14 and letters >= 0.65 and len(set(words)) >= (3 if len(words) < 8 else 5)
 
 
 def statistics(text: str) -> tuple[float, ...]:
