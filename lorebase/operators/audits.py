@@ -4,32 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import jaccard, trigrams
 from lorebase.operators.graph import active
+from lorebase.session import cut
 
 
 def similar_names(names: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(kind, name_a, name_b, similarity): distinct names of one kind whose trigram sets overlap by more than threshold.
 
     names: kind, name. Exact all-pairs join by prefix filtering: with trigrams ordered from rare to common, two sets
-    above the threshold share one of their first ``n - ceil(threshold * n) + 1`` trigrams, so common trigrams are no
-    join keys. Equal names are one; null names are left out.
+    above the threshold share at least two of their first ``n - ceil(threshold * n) + 2`` trigrams, so pairs of rare
+    trigrams are the join keys and common ones are none. Equal names are one; null names are left out.
     """
-    sets = names.filter("name IS NOT NULL").select("kind", F.lower("name").alias("name")).distinct().withColumn("grams", trigrams("name")).withColumn("n", F.size("grams"))
-    single = sets.select("kind", "name", "n", F.explode("grams").alias("gram"))
-    spread = single.groupBy("kind", "gram").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("kind", "name").orderBy("df", "gram")
-    ranked = single.join(spread, ["kind", "gram"]).withColumn("r", F.row_number().over(order))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("kind", "gram", "name", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") < F.col("b.name"))
+    sets = names.filter("name IS NOT NULL").select("kind", F.lower("name").alias("name")).distinct().withColumn("grams", trigrams("name")).filter(F.size("grams") > 0)
+    sets = cut(sets.withColumn("id", F.xxhash64("kind", "name")))
+    spread = sets.select("kind", F.explode("grams").alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("df"))
+    keys = prefix_keys(sets, "id", spread, threshold)
+    a, b = keys.alias("a"), keys.alias("b")
     fits = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    pairs = a.join(b, near & fits).select(F.col("a.kind").alias("kind"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).distinct()
-    scored = pairs.withColumn("similarity", jaccard(trigrams("name_a"), trigrams("name_b")))
-    return scored.filter(F.col("similarity") > threshold)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    one, two = (sets.select(F.col("id").alias(i), F.col("kind").alias(f"k{i}"), F.col("name").alias(f"name{i}"), F.col("grams").alias(f"g{i}")) for i in "xy")
+    scored = met.join(one, "x").join(two, "y").filter("kx = ky").withColumn("similarity", jaccard("gx", "gy"))
+    return scored.filter(F.col("similarity") > threshold).select(F.col("kx").alias("kind"), F.least("namex", "namey").alias("name_a"), F.greatest("namex", "namey").alias("name_b"), "similarity")
+
+
+def prefix_keys(sets: DataFrame, key: str, spread: DataFrame, threshold: float) -> DataFrame:
+    """(key, kind, n, key): pairs of rare trigrams of sets(key, kind, grams), any two sets above threshold share one.
+
+    spread: kind, gram, df. Every set has two trigrams or more, as words are padded.
+    """
+    single = sets.select(key, "kind", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(spread, ["kind", "gram"], "left").fillna(0, ["df"])
+    ordered = single.groupBy(key, "kind", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("g"))
+    first = F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 2).cast("int"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.transform(F.slice("p", i + 1, F.size("p")), lambda g: F.xxhash64(F.col("kind"), F.least(F.element_at("p", i), g), F.greatest(F.element_at("p", i), g)))))
+    return ordered.withColumn("p", first).filter(F.size("p") > 1).select(key, "kind", "n", F.explode(pairs).alias("key"))
 
 
 def orphans(entities: DataFrame, links: DataFrame, spared: Sequence[int] = (1, 2)) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import vocabulary as V
 from lorebase.functions.text import jaccard, trigrams
+from lorebase.operators.audits import prefix_keys
+from lorebase.session import cut
 
 
 def _errors(checks: Sequence[tuple[Column, str]]) -> Column:
@@ -39,16 +41,10 @@ def fuzzy_candidates(proposals: DataFrame, entities: DataFrame, threshold: float
 
     Prefix filtering as in the duplicate audit: trigrams ordered by how rare they are among the entities.
     """
-    known = entities.select("id", F.col("entity_type").alias("kind"), F.lower("name").alias("name")).withColumn("grams", trigrams("name")).withColumn("n", F.size("grams"))
-    asked = proposals.select("proposal_id", F.col("entity_type").alias("kind"), F.lower(F.trim("name")).alias("name")).withColumn("grams", trigrams("name")).withColumn("n", F.size("grams"))
+    known = cut(entities.select("id", F.col("entity_type").alias("kind"), trigrams(F.lower("name")).alias("grams")))
+    asked = cut(proposals.select("proposal_id", F.col("entity_type").alias("kind"), trigrams(F.lower(F.trim("name"))).alias("grams")))
     spread = known.select("kind", F.explode("grams").alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("df"))
-
-    def prefix(rows: DataFrame, key: str) -> DataFrame:
-        single = rows.select(key, "kind", "n", F.explode("grams").alias("gram")).join(spread, ["kind", "gram"], "left").fillna(0, ["df"])
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "gram"))
-        return single.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "kind", "gram")
-
-    met = prefix(asked, "proposal_id").join(prefix(known, "id"), ["kind", "gram"]).select("proposal_id", "id").distinct()
+    met = prefix_keys(asked, "proposal_id", spread, threshold).select("proposal_id", "key").join(prefix_keys(known, "id", spread, threshold).select("id", "key"), "key").select("proposal_id", "id").distinct()
     scored = met.join(asked.select("proposal_id", F.col("grams").alias("ga")), "proposal_id").join(known.select("id", F.col("grams").alias("gb")), "id")
     scored = scored.withColumn("similarity", jaccard("ga", "gb")).filter(F.col("similarity") > threshold)
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("proposal_id").orderBy(F.col("similarity").desc(), "id"))).filter(F.col("r") <= most)
