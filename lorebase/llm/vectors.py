@@ -204,13 +204,14 @@ def _spread(shared, size: int, only_asked: bool):
             for start in range(0, len(whole), 2_048):
                 b = whole.iloc[start : start + 2_048]
                 x = _matrix(b["half"], size)
-                found = tree.search(x, tree.visits)
                 rep, half = b["rep"].to_numpy(), b["half"].to_numpy()
-                part = (rep * 0x9E3779B1 % 2**32) % tree.parts[found[:, 0]]
-                yield pd.DataFrame({"leaf": found[:, 0], "part": part.astype(np.int32), "rep": rep, "half": half, "home": True})
                 asks = np.flatnonzero(b["asked"].to_numpy()) if only_asked else np.arange(len(b))
-                row, col = np.nonzero(found[asks] >= 0)
-                leaf = found[asks][row, col]
+                found = tree.search(x[asks], tree.visits)
+                home = tree.home(x) if only_asked else found[:, 0]
+                part = (rep * 0x9E3779B1 % 2**32) % tree.parts[home]
+                yield pd.DataFrame({"leaf": home, "part": part.astype(np.int32), "rep": rep, "half": half, "home": True})
+                row, col = np.nonzero(found >= 0)
+                leaf = found[row, col]
                 # in its own leaf a vector meets its own part as a member already, the other parts as a visitor
                 times = tree.parts[leaf]
                 at = np.repeat(asks[row], times)
