@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import vocabulary as V
+from lorebase.functions.vectors import norm
 from lorebase.operators import chunking as K
 from lorebase.operators import curation as C
 from lorebase.operators.dedupe import first_copies
+from lorebase.operators.embedding import embedded, hashing_provider, model_version, with_neighbours
 from lorebase.operators.ordinals import dense_ordinals
 from lorebase.plans.retrieval import MESSAGES
 from lorebase.sources.records import messages, unseen, violations
@@ -74,6 +76,22 @@ def resolved_chunks(spark: SparkSession, root: str) -> DataFrame:
     return out.filter(F.col("resolved") != F.col("raw_content")).select("id", F.md5("resolved").alias("md5"))
 
 
+def chunk_context(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks before and after each chunk in its conversation."""
+    rows = table(spark, root, "chunks").select("id", "conversation_id", "chunk_type")
+    return with_neighbours(rows, "conversation_id", "id", ["id", "chunk_type"]).select("id", "prev_id", "next_id", "prev_chunk_type", "next_chunk_type")
+
+
+def embedded_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of the chunks' texts by the offline provider: their width and length."""
+    out = embedded(table(spark, root, "chunks"), "id", "raw_content", hashing_provider())
+    return out.select("id", F.size("embedding").cast("long").alias("width"), F.round(norm("embedding"), 3).alias("length"))
+
+
+def extraction_version(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "chunks").select("id", model_version("model", F.coalesce("content", F.lit(""))).alias("version"))
+
+
 def _proposals(spark: SparkSession, root: str) -> DataFrame:
     """Names with changed case, aliases, and stretched names of the entities, as if an extractor had proposed them."""
     e = table(spark, root, "entities").filter("id > 2")
@@ -143,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         turn_groups, gap_boundaries, token_estimate, chunk_classify, chunk_conversation, chunk_text, topic_boundaries, boundary_stats, resolved_chunks, route_entities, validate_records, upsert_entities,
-        denylist_backfill, resolve_names, entity_summaries, import_dedupe, import_conversations, constraint_violations,
+        denylist_backfill, resolve_names, entity_summaries, chunk_context, embedded_chunks, extraction_version, import_dedupe, import_conversations, constraint_violations,
     )
 }
 
@@ -183,6 +201,9 @@ CASE WHEN id % 3 = 0 THEN 'match is unknown' END, CASE WHEN (id % 13) / 10 > 1 T
 SELECT name, entity_type, coalesce(s, summary) AS summary, CASE WHEN id IS NULL THEN 'created' WHEN hit THEN 'updated' ELSE 'kept' END AS action FROM (SELECT id, name, entity_type, summary FROM entities) FULL JOIN q USING (name, entity_type)""",
     "denylist_backfill": "SELECT DISTINCT lower(trim(name)) AS name, entity_type FROM entities WHERE access_count < 2 AND trim(name) <> '' AND (lower(trim(name)), entity_type) NOT IN (SELECT (lower(name), entity_type) FROM entities WHERE id % 50 = 3)",
     "resolve_names": "WITH n AS (SELECT DISTINCT upper(name) AS name FROM entities WHERE id % 5 = 0), k AS (SELECT lower(name) AS k, count(*) AS n, min(id) AS e FROM entities GROUP BY 1) SELECT name, CASE WHEN coalesce(n, 0) = 1 THEN e END AS entity_id, coalesce(n, 0) AS n FROM n LEFT JOIN k ON k = lower(trim(name))",
+    "chunk_context": "SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, lag(chunk_type) OVER w AS prev_chunk_type, lead(chunk_type) OVER w AS next_chunk_type FROM chunks WINDOW w AS (PARTITION BY conversation_id ORDER BY id)",
+    "embedded_chunks": "SELECT id, CASE WHEN regexp_matches(coalesce(raw_content, ''), '\\S') THEN 64::BIGINT END AS width, CASE WHEN regexp_matches(coalesce(raw_content, ''), '\\S') THEN 1.0::DOUBLE END AS length FROM chunks",
+    "extraction_version": "SELECT id, 'model-' || sha256(coalesce(content, ''))[1:12] AS version FROM chunks",
     "import_dedupe": "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT min(doc_id) AS doc_id FROM d WHERE text NOT IN (SELECT text FROM d WHERE doc_id % 10 = 0) GROUP BY text",
     "import_conversations": "SELECT DISTINCT s AS session_id FROM (SELECT nullif(lower(trim(sessionId)), '') AS s FROM (SELECT sessionId FROM sample_cc_session UNION ALL SELECT sessionId FROM emotional_session)) WHERE s IS NOT NULL AND s NOT IN (SELECT lower(trim(session_id)) FROM conversations WHERE id % 7 <> 0 AND session_id IS NOT NULL)",
 }

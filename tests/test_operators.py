@@ -283,3 +283,19 @@ def test_streaming_state(spark, tmp_path):
     seen = []
     S.land_batches(S.running_totals(stream), lambda df, _: seen.extend(tuple(r) for r in df.select("user_id", "n").collect()), str(tmp_path / "state"), "update")
     assert dict(seen) == {5: 2, 6: 1}
+
+
+def test_embedding(spark, rows):
+    from lorebase.operators.embedding import embedded, hashing_provider, with_neighbours
+
+    df = spark.createDataFrame([(i, None if i == 3 else "" if i == 4 else f"word {i}") for i in range(250)], "k long, t string")
+    got = dict(embedded(df, "k", "t", hashing_provider(8)).collect())
+    assert len(got) == 250 and got[3] is None and got[4] is None and len(got[5]) == 8
+
+    def failing(texts):
+        raise OSError("no service")
+
+    assert set(dict(embedded(df.limit(5), "k", "t", failing).collect()).values()) == {None}
+    assert [len(hashing_provider(8)(["a b"])[0]), hashing_provider(8)([" "])] == [8, [None]]
+    near = with_neighbours(df.filter("k < 3").withColumn("g", F.lit("g")), "g", "k", ["t"])
+    assert rows(near, "k", "prev_t", "next_t") == [(0, None, "word 1"), (1, "word 0", "word 2"), (2, "word 1", None)]
