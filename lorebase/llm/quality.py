@@ -18,10 +18,10 @@ from lorebase.session import cut
 
 # Common words by language, without articles, which lists and menus use as well.
 COMMON = {
-    "en": "of and to in is it that was for on with as be this but not we are or from by have has had were they if there will would can no do my your out up about what when which then than them their our been some only also am i you an before at because until who whether still must could every since after so all any nor there back while said here very each more other over under without",
+    "en": "of and to in is it that was for on with as be this but not we are or from by have has had were they if there will would can no do my your out up about what when which then than them their our been some only also am i you an before at because until who whether still must could every since after so all any nor there while said here very each other over under without beside during once named according",
     "de": "und ist nicht ich es wir zu in mit sich auf für war wie aber so noch nur auch bei nach wenn aus oder hat haben am im von was dass als man doch seit denn sollten",
-    "fr": "de et est que il je nous pas en dans pour ce se qui du au avec sur sont mais ne on plus par ou été si cette avant était me aucun rien",
-    "es": "de y es que no en por con se lo al del para me mi su como más pero si ya son fue hay porque ha cuando estaba",
+    "fr": "de et est que il je nous pas en dans pour ce se qui du au avec sur sont mais ne on plus par ou été si cette avant était me aucun rien à bien comme moins",
+    "es": "de y es que no en por con se lo al del para me mi su como más pero si ya son fue hay porque ha cuando estaba solo desde sin muy",
 }
 WORDS = frozenset(w for words in COMMON.values() for w in words.split())
 
@@ -42,7 +42,8 @@ def is_prose(segment: str) -> bool:
         return False
     common = sum(w in WORDS for w in words) / len(words)
     letters = sum(map(len, words)) / max(1, len(_BLANK.sub("", segment)))
-    return common >= 0.14 and letters >= 0.65 and len(set(words)) >= (3 if len(words) < 8 else 5)
+    # hardly anything but letters, as in sentences, makes up for few common words; lists have none at all
+    return (common >= 0.14 and letters >= 0.65 or common >= 0.08 and letters >= 0.93) and len(set(words)) >= (3 if len(words) < 8 else 5)
 
 
 def statistics(text: str) -> tuple[float, ...]:
