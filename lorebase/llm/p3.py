@@ -30,12 +30,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
-    return ranking(scored(spark, root), ["query_id"], "chunk_id").select("query_id", "chunk_id", "points", "place")
+    return ranking(scored(spark, root), ["query_id"], "chunk_id").select("query_id", "chunk_id", "points", F.col("place").cast("long"))
 
 
 def p3_top10(spark: SparkSession, root: str) -> DataFrame:
     """Top ten of each query."""
-    return ranking(scored(spark, root), ["query_id"], "chunk_id", 10).select("query_id", "chunk_id", "points", "place")
+    return ranking(scored(spark, root), ["query_id"], "chunk_id", 10).select("query_id", "chunk_id", "points", F.col("place").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p3_top10)}
