@@ -143,7 +143,7 @@ live AS (SELECT * FROM every WHERE superseded_at IS NULL)"""
 def _bfs(types: str = "TRUE", hops: int = 3) -> str:
     return f"""WITH RECURSIVE {EDGES}, ways AS (SELECT source_id AS a, target_id AS b FROM live WHERE {types} UNION SELECT target_id, source_id FROM live WHERE {types}),
 walk AS (SELECT {ROOT}::BIGINT AS entity_id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN ways ON a = entity_id WHERE depth < {hops}),
-near AS (SELECT entity_id, min(depth) AS depth FROM walk GROUP BY 1)"""
+near AS (SELECT entity_id, min(depth)::BIGINT AS depth FROM walk GROUP BY 1)"""
 
 
 _GRAMS = r"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({n}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i+2]))))"

@@ -230,7 +230,7 @@ SQL = {
 FROM chunks, q WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND query_id <> id)
 SELECT query_id, id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) <= 5""",
     "recall_entities": f"WITH {_RECALL} SELECT chunk_id, entity_id, name, entity_type FROM hits JOIN entity_chunks x ON x.chunk_id = hits.id JOIN entities e ON e.id = x.entity_id",
-    "access_tracking": f"WITH {_RECALL} SELECT id, coalesce(access_count, 0) + CASE WHEN id IN (SELECT entity_id FROM entity_chunks WHERE chunk_id IN (SELECT id FROM hits)) THEN 1 ELSE 0 END AS access_count FROM entities",
+    "access_tracking": f"WITH {_RECALL} SELECT id, coalesce(access_count, 0)::BIGINT + CASE WHEN id IN (SELECT entity_id FROM entity_chunks WHERE chunk_id IN (SELECT id FROM hits)) THEN 1 ELSE 0 END::BIGINT AS access_count FROM entities",
     "message_ordinals": f"WITH {MESSAGES} SELECT session_id, rec_id, ordinal, role, length(content) AS n_chars FROM msgs",
     "message_search_context": f"WITH {MESSAGES}, hit AS (SELECT session_id, ordinal AS hit_ordinal FROM msgs WHERE {_has('importer', 'notes')}) SELECT session_id, hit_ordinal, ordinal, rec_id, role FROM hit JOIN msgs USING (session_id) WHERE ordinal BETWEEN hit_ordinal - 2 AND hit_ordinal + 2",
     "message_search_dated": f"WITH {MESSAGES} SELECT session_id, rec_id, source FROM msgs JOIN (SELECT session_id, source FROM conversations WHERE source IS NOT NULL) USING (session_id) WHERE spoken_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND spoken_at < TIMESTAMPTZ '2026-04-01 00:00:00+00' AND {_has('importer')}",
