@@ -1,4 +1,8 @@
-"""Queries of chunking, curation and ingestion, with their SQL."""
+"""Queries of chunking, curation and ingestion, with their SQL.
+
+Patches, merges, denials and stored rows are inputs the tables do not have; they are made from the ids (``id % n``). The
+operators run on whole tables.
+"""
 
 from __future__ import annotations
 
@@ -125,7 +129,7 @@ def denylist_backfill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def resolve_names(spark: SparkSession, root: str) -> DataFrame:
-    names = table(spark, root, "entities").filter("id % 5 = 0").select(F.upper("name").alias("name")).distinct()
+    names = table(spark, root, "entities").filter("name IS NOT NULL").select(F.upper("name").alias("name")).distinct()
     return C.resolve_name(table(spark, root, "entities"), names).select("name", "entity_id", "n")
 
 
@@ -200,7 +204,7 @@ CASE WHEN id % 3 = 0 THEN 'match is unknown' END, CASE WHEN (id % 13) / 10 > 1 T
     "upsert_entities": """WITH p AS (SELECT CASE WHEN id % 8 = 0 THEN name ELSE 'New ' || name END AS name, entity_type, CASE WHEN id % 16 <> 0 THEN 'patched' END AS s FROM entities WHERE id % 4 = 0), q AS (SELECT name, entity_type, max(s) AS s, TRUE AS hit FROM p GROUP BY ALL)
 SELECT name, entity_type, coalesce(s, summary) AS summary, CASE WHEN id IS NULL THEN 'created' WHEN hit THEN 'updated' ELSE 'kept' END AS action FROM (SELECT id, name, entity_type, summary FROM entities) FULL JOIN q USING (name, entity_type)""",
     "denylist_backfill": "SELECT DISTINCT lower(trim(name)) AS name, entity_type FROM entities WHERE access_count < 2 AND trim(name) <> '' AND (lower(trim(name)), entity_type) NOT IN (SELECT (lower(name), entity_type) FROM entities WHERE id % 50 = 3)",
-    "resolve_names": "WITH n AS (SELECT DISTINCT upper(name) AS name FROM entities WHERE id % 5 = 0), k AS (SELECT lower(name) AS k, count(*) AS n, min(id) AS e FROM entities GROUP BY 1) SELECT name, CASE WHEN coalesce(n, 0) = 1 THEN e END AS entity_id, coalesce(n, 0) AS n FROM n LEFT JOIN k ON k = lower(trim(name))",
+    "resolve_names": "WITH n AS (SELECT DISTINCT upper(name) AS name FROM entities WHERE name IS NOT NULL), k AS (SELECT lower(name) AS k, count(*) AS n, min(id) AS e FROM entities GROUP BY 1) SELECT name, CASE WHEN coalesce(n, 0) = 1 THEN e END AS entity_id, coalesce(n, 0) AS n FROM n LEFT JOIN k ON k = lower(trim(name))",
     "chunk_context": "SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, lag(chunk_type) OVER w AS prev_chunk_type, lead(chunk_type) OVER w AS next_chunk_type FROM chunks WINDOW w AS (PARTITION BY conversation_id ORDER BY id)",
     "embedded_chunks": "SELECT id, CASE WHEN regexp_matches(coalesce(raw_content, ''), '\\S') THEN 64::BIGINT END AS width, CASE WHEN regexp_matches(coalesce(raw_content, ''), '\\S') THEN 1.0::DOUBLE END AS length FROM chunks",
     "extraction_version": "SELECT id, 'model-' || sha256(coalesce(content, ''))[1:12] AS version FROM chunks",
