@@ -1,4 +1,4 @@
-"""Per-document text quality statistics, and the tails of their distributions.
+"""Per-document text quality statistics, the tails of their distributions, and the texts that are mostly not prose.
 
 Statistics are computed once per text, whole texts always. Their distributions are kept as mergeable KLL quantile
 sketches per language; a value is turned into a robust z-score against its language's median and median absolute
@@ -118,7 +118,10 @@ def tails(measured: DataFrame, names: tuple[str, ...] = NAMES, floor: float = 0.
     return joined.select(*measured.columns, *(z(n, "").alias(f"z_{n}") for n in names), *(z(n, "all_").alias(f"g_{n}") for n in names))
 
 
-def junk(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", deep: float = 3.0) -> DataFrame:
-    """Keys of texts in the low tail of prose_share (z or g below -deep) whose prose is also less than half of them."""
-    scored = tails(cut(profiles(docs, key, text, lang)), ("prose_share", "common_share", "symbol_ratio"))
-    return scored.filter(((F.col("z_prose_share") < -deep) | (F.col("g_prose_share") < -deep)) & (F.col("prose_share") < 0.5))
+def junk(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Profiles of texts of which less than half is prose.
+
+    Where the others lie plays no part: the quartiles follow the junk once it holds a quarter of the texts, so a tail
+    of the distribution would shelter it. The distances of tails() are statistics beside this.
+    """
+    return profiles(docs, key, text, lang).filter(F.col("prose_share") < 0.5)

@@ -338,6 +338,16 @@ def test_quality(spark, rows):
     assert statistics(" ")[-1] == 1.0 and statistics("x" * 10_000)[0] == 1.0
 
 
+@pytest.mark.parametrize("share", [4, 9])
+def test_quality_where_junk_is_common(spark, rows, share):
+    """Texts below half prose are found when junk holds two fifths or most of a language and of the whole."""
+    prose = "We think that this is fine and that it will be so for a while. "
+    bad = [i for i in range(100) if i % 10 < share]
+    data = [(i, f"row{i},1,0.5\n" * 40 if i in bad else prose * (1 + i % 5), "en" if i % 3 else "de") for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert rows(junk(df), "doc_id") == [(i,) for i in bad]
+
+
 ROOT = "/root/testdata/sf0.001"
 
 
