@@ -19,7 +19,7 @@ from lorebase.operators.dedupe import first_copies
 from lorebase.operators.embedding import embedded, hashing_provider, model_version, with_neighbours
 from lorebase.operators.ordinals import dense_ordinals
 from lorebase.plans.retrieval import MESSAGES
-from lorebase.sources.records import messages, unseen, violations
+from lorebase.sources.records import linearised, messages, unseen, violations
 from lorebase.sources.tables import session_rows, table
 
 
@@ -51,8 +51,14 @@ def chunk_classify(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", kind.alias("chunk_type"), K.significance(kind, greeting).cast("long").alias("significance"))
 
 
+def linearise_session(spark: SparkSession, root: str) -> DataFrame:
+    """Messages in the order of their reply tree; rows only, a depth-first walk has no practicable SQL."""
+    return linearised(session_rows(spark, root)).select("session_id", "rec_id", "ordinal", "role")
+
+
 def chunk_conversation(spark: SparkSession, root: str) -> DataFrame:
-    out = K.chunked(_messages(spark, root))
+    """Chunks of the messages as linearise_session numbers them."""
+    out = K.chunked(linearised(session_rows(spark, root)))
     return out.select("session_id", "head", "part", "start_ordinal", "end_ordinal", "chunk_type", F.col("significance").cast("long"), F.length("content").cast("long").alias("n_chars"))
 
 
@@ -164,7 +170,7 @@ def constraint_violations(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        turn_groups, gap_boundaries, token_estimate, chunk_classify, chunk_conversation, chunk_text, topic_boundaries, boundary_stats, resolved_chunks, route_entities, validate_records, upsert_entities,
+        turn_groups, gap_boundaries, token_estimate, chunk_classify, linearise_session, chunk_conversation, chunk_text, topic_boundaries, boundary_stats, resolved_chunks, route_entities, validate_records, upsert_entities,
         denylist_backfill, resolve_names, entity_summaries, chunk_context, embedded_chunks, extraction_version, import_dedupe, import_conversations, constraint_violations,
     )
 }

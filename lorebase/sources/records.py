@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.messages import content_text, identifier, not_blank, parsed
 from lorebase.operators.dedupe import first_copies
+from lorebase.operators.linearise import EARLIEST, TASK_ROWS, reply_places
 from lorebase.operators.ordinals import dense_ordinals
+from lorebase.session import cut
 
 
 def session_log_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,20 +34,47 @@ def parsed_log(lines: DataFrame) -> DataFrame:
     return rows.join(named, "path").withColumn("sessionId", F.coalesce("first", stem)).drop("first", "sid")
 
 
+def _talk(rows: DataFrame) -> DataFrame:
+    """User and assistant records of sessions that carry no tool results, with own (their key), side, role, content and spoken_at."""
+    key = F.coalesce("msg_id", F.concat(F.lit("\0"), F.col("rec_id").cast("string")))
+    said = rows.filter(F.col("type").isin("user", "assistant") & F.col("session_id").isNotNull())
+    said = said.select("rec_id", "session_id", "msg_id", "parent_id", key.alias("own"), F.coalesce("isSidechain", F.lit(False)).alias("side"), "type", "timestamp", parsed("message").alias("v"))
+    result = F.expr("exists(try_variant_get(v, '$.content', 'array<variant>'), b -> try_variant_get(b, '$.type', 'string') = 'tool_result')")
+    text = F.trim(F.replace(content_text("v", "\n\n"), F.lit("\0"), F.lit("")))
+    role = F.when(F.col("type") == "user", "human").otherwise("assistant").alias("role")
+    return said.filter(~((F.col("type") == "user") & F.coalesce(result, F.lit(False)))).select("rec_id", "session_id", "msg_id", "parent_id", "own", "side", role, text.alias("content"), F.expr("try_cast(timestamp AS timestamp)").alias("spoken_at"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The messages of rows, one copy each, without their order."""
+    said = _talk(rows.filter(~F.coalesce("isSidechain", F.lit(False)) & F.col("message").isNotNull())).filter("content <> ''")
+    return first_copies(said.select("rec_id", "session_id", "own", "role", "content", "spoken_at"), ["session_id", "own"], ["rec_id"])
+
+
 def messages(rows: DataFrame) -> DataFrame:
     """Messages of session rows: session_id, rec_id, role (human, assistant), content, spoken_at and a dense ordinal.
 
     rows: rec_id, session_id, msg_id, parent_id, type, isSidechain, timestamp, message. Records that carry tool results,
-    sidechains, unreadable ones and those without text are no messages; one copy of each record counts.
+    sidechains, unreadable ones and those without text are no messages; one copy of each record counts. The ordinal
+    follows arrival; linearised() follows the replies.
     """
-    key = F.coalesce("msg_id", F.concat(F.lit("\0"), F.col("rec_id").cast("string")))
-    said = rows.filter(F.col("type").isin("user", "assistant") & ~F.coalesce("isSidechain", F.lit(False)) & F.col("message").isNotNull() & F.col("session_id").isNotNull())
-    said = said.select("rec_id", "session_id", key.alias("own"), "type", "timestamp", parsed("message").alias("v"))
-    result = F.expr("exists(try_variant_get(v, '$.content', 'array<variant>'), b -> try_variant_get(b, '$.type', 'string') = 'tool_result')")
-    text = F.trim(F.replace(content_text("v", "\n\n"), F.lit("\0"), F.lit("")))
-    said = said.filter(~((F.col("type") == "user") & F.coalesce(result, F.lit(False)))).select("rec_id", "session_id", "own", F.when(F.col("type") == "user", "human").otherwise("assistant").alias("role"), text.alias("content"), F.expr("try_cast(timestamp AS timestamp)").alias("spoken_at"))
-    once = first_copies(said.filter("content <> ''"), ["session_id", "own"], ["rec_id"]).drop("own")
-    return dense_ordinals(once, ["session_id"], "rec_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return dense_ordinals(_once(rows).drop("own"), ["session_id"], "rec_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def linearised(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """messages() with ordinals along the reply tree, without what hangs below sidechains.
+
+    Roots are the records whose parent is not a user or assistant record of the session, or carries tool results, by
+    arrival; children come by time (unknown first), then arrival. Records without msg_id are roots, and so is the first
+    record of a loop. rec_id must be unique.
+    """
+    at = F.coalesce(F.unix_micros("spoken_at"), F.lit(EARLIEST))
+    kept = _talk(rows).select("rec_id", "session_id", "own", "msg_id", "parent_id", "side", at.alias("at"))
+    nodes = cut(first_copies(kept, ["session_id", "own"], ["rec_id"]))
+    parents = nodes.filter("msg_id IS NOT NULL").select("session_id", F.col("msg_id").alias("parent_id"), F.col("rec_id").alias("parent_rec"))
+    linked = nodes.withColumn("parent_id", F.when(F.col("msg_id").isNotNull(), F.col("parent_id"))).join(parents, ["session_id", "parent_id"], "left")
+    placed = _once(rows).join(reply_places(linked, task_rows), ["session_id", "own"]).drop("own")
+    return dense_ordinals(placed, ["session_id"], "place").drop("place").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 def conversation_names(said: DataFrame, most: int = 80) -> DataFrame:

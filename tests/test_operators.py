@@ -299,3 +299,35 @@ def test_embedding(spark, rows):
     assert [len(hashing_provider(8)(["a b"])[0]), hashing_provider(8)([" "])] == [8, [None]]
     near = with_neighbours(df.filter("k < 3").withColumn("g", F.lit("g")), "g", "k", ["t"])
     assert rows(near, "k", "prev_t", "next_t") == [(0, None, "word 1"), (1, "word 0", "word 2"), (2, "word 1", None)]
+
+
+@pytest.mark.parametrize("task_rows", [2_000_000, 2])
+def test_reply_order(spark, task_rows):
+    """The walk of linearised() against a plain one: late parents, siblings by time, sidechains, loops, copies."""
+    from lorebase.functions.messages import with_identifiers
+
+    said = json.dumps({"content": "x"})
+    hour = lambda h: f"2026-01-01T{h:02}:00:00Z"
+    data = [
+        (1, "s", "reply", "start", "assistant", None, said, hour(2)),
+        (2, "s", "start", None, "user", None, said, hour(1)),
+        (3, "s", "later", "start", "assistant", None, said, hour(4)),
+        (4, "s", "under", "reply", "user", None, said, hour(9)),
+        (5, "s", "unknown", "start", "assistant", None, said, None),
+        (6, "s", "side", "start", "assistant", True, said, hour(1)),
+        (7, "s", "below", "side", "user", None, said, hour(1)),
+        (8, "s", "tool", "later", "user", None, json.dumps({"content": [{"type": "tool_result"}]}), hour(5)),
+        (9, "s", "anew", "tool", "assistant", None, said, hour(0)),
+        (10, "s", " REPLY", None, "assistant", None, said, hour(0)),
+        (11, "s", None, "start", "user", None, said, hour(1)),
+        (12, "s", "hang", "b", "user", None, said, hour(1)),
+        (13, "s", "a", "b", "user", None, said, hour(1)),
+        (14, "s", "b", "a", "assistant", None, said, hour(1)),
+        (15, "s", "hollow", "anew", "assistant", None, json.dumps({"content": " "}), hour(1)),
+        (16, "s", "through", "hollow", "user", None, said, hour(1)),
+        (17, "t", "reply", "start", "user", None, said, hour(1)),
+    ]
+    df = with_identifiers(spark.createDataFrame(data, "rec_id long, sessionId string, uuid string, parentUuid string, type string, isSidechain boolean, message string, timestamp string"))
+    got = [(r.session_id, r.ordinal, r.rec_id) for r in R.linearised(df, task_rows).orderBy("session_id", "ordinal").collect()]
+    assert got == [("s", i, r) for i, r in enumerate([2, 5, 1, 4, 3, 9, 16, 11, 13, 14, 12])] + [("t", 0, 17)]
+    assert R.linearised(df.limit(0), task_rows).count() == 0
