@@ -115,23 +115,24 @@ def folded(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
 
 
 def judged(rows: DataFrame, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Sessions to drop (session_id, broken, empty, unanswered) and the threads of all records.
+    """Conversations to drop (session_id, nameless, broken, empty, unanswered) and the threads of all records.
 
     rows: records with rec_id (unique), session_id, msg_id, parent_id, type, isSidechain and message. Null flags count
-    as false, copies of one identifier as one, a null parent starts a thread, records without session_id are in no
-    session. Repeated rows, ties and empty tables are no special case; further columns are ignored.
+    as false, copies of one identifier as one, a null parent starts a thread. Records without session_id form one
+    conversation per component, judged by the same rules; nameless is that component, and null for a session.
+    Repeated rows, ties and empty tables are no special case; further columns are ignored.
     """
     base = cut(threads(linked(speaking(rows))))
     loops = base.groupBy("component").agg(F.count("*").alias("n"), F.count("parent_rec").alias("m"), F.min("session_id").alias("session_id")).filter("n = m")
     fold = folded(base, task_rows)
     false = F.lit(False)
     parts = [
-        base.select("session_id", (F.col("unreadable") | F.col("dangling")).alias("broken"), (F.col("asks") | F.col("answers")).alias("said"), false.alias("unanswered")),
-        loops.select("session_id", F.lit(True).alias("broken"), false.alias("said"), false.alias("unanswered")),
-        fold.filter("asks AND NOT answered").select("session_id", false.alias("broken"), false.alias("said"), F.lit(True).alias("unanswered")),
+        base.select("session_id", "component", (F.col("unreadable") | F.col("dangling")).alias("broken"), (F.col("asks") | F.col("answers")).alias("said"), false.alias("unanswered")),
+        loops.select("session_id", "component", F.lit(True).alias("broken"), false.alias("said"), false.alias("unanswered")),
+        fold.filter("asks AND NOT answered").select("session_id", "component", false.alias("broken"), false.alias("said"), F.lit(True).alias("unanswered")),
     ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("session_id IS NOT NULL")
-    marks = every.groupBy("session_id").agg(F.bool_or("broken").alias("broken"), (~F.bool_or("said")).alias("empty"), F.bool_or("unanswered").alias("unanswered"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("nameless", F.when(F.col("session_id").isNull(), F.col("component")))
+    marks = every.groupBy("session_id", "nameless").agg(F.bool_or("broken").alias("broken"), (~F.bool_or("said")).alias("empty"), F.bool_or("unanswered").alias("unanswered"))
     return marks.filter("broken OR empty OR unanswered"), fold
 
 
@@ -142,7 +143,9 @@ def rebuilt(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     reply never precedes what it answers. Records without session_id form one conversation per component.
     """
     dropped, fold = judged(rows, task_rows)
-    sound = fold.join(dropped.select("session_id"), "session_id", "left_anti").select("rec_id", "component", "depth")
+    # one key for both kinds, so that no join meets the nulls of the other kind in one task
+    key = lambda column: F.coalesce("session_id", F.concat(F.lit("\0"), F.col(column).cast("string"))).alias("__key")
+    sound = fold.select("rec_id", "component", "depth", key("component")).join(dropped.select(key("nameless")), "__key", "left_anti").drop("__key")
     texts = rows.filter(F.col("type").isin("user", "assistant")).withColumn("__v", parsed("message"))
     texts = texts.select("rec_id", "session_id", F.col("type").alias("speaker"), content_text("__v").alias("text"), F.expr("try_cast(timestamp AS timestamp)").alias("spoken_at"))
     turns = texts.filter(not_blank("text")).join(sound, "rec_id")

@@ -9,7 +9,7 @@ from lorebase.sources.tables import session_rows
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return judged(session_rows(spark, root))[0].select("session_id")
+    return judged(session_rows(spark, root))[0].filter("session_id IS NOT NULL").select("session_id")
 
 
 def p2_turns(spark: SparkSession, root: str) -> DataFrame:

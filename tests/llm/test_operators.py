@@ -93,6 +93,18 @@ def test_conversations(spark, task_rows):
     assert judged(df.limit(0), task_rows)[0].count() == 0
 
 
+@pytest.mark.parametrize("task_rows", [4_000_000, 2])
+def test_nameless_conversations(spark, task_rows):
+    """Components without session_id are dropped by the rules of sessions."""
+    records = [r for i, (name, own) in enumerate(SESSIONS.items()) if name in DROPPED | {"good"} for r in [(i, u and f"{u}{i}", p and f"{p}{i}", *rest) for u, p, *rest in own]]
+    data = [(n, None, u, p, kind, side, message, None) for n, (_, u, p, kind, message, side) in enumerate(records)]
+    df = with_identifiers(spark.createDataFrame(data, "rec_id long, sessionId string, uuid string, parentUuid string, type string, isSidechain boolean, message string, timestamp string"))
+    turns = rebuilt(df, task_rows).orderBy("depth").collect()
+    good = list(SESSIONS).index("good")
+    assert [(records[r.rec_id][0], r.speaker) for r in turns] == [(good, "user"), (good, "assistant")]
+    assert judged(df, task_rows)[0].filter("session_id IS NOT NULL").count() == 0
+
+
 def test_long_thread(spark):
     n = 700
     df = spark.range(n).select(F.col("id").alias("rec_id"), F.lit("s").alias("sessionId"), F.concat(F.lit("u"), F.col("id")).alias("uuid"), F.when(F.col("id") > 0, F.concat(F.lit("u"), F.col("id") - 1)).alias("parentUuid"), F.when(F.col("id") == n - 1, "assistant").otherwise("user").alias("type"), F.lit(False).alias("isSidechain"), F.lit(said("t")).alias("message"), F.lit(None).cast("string").alias("timestamp"))
