@@ -6,20 +6,23 @@ spellings and initials, and with that richer profile the weak spellings (a famil
 short form of an organisation) are looked up again; this goes on until no further merge occurs. A weak spelling only
 merges where exactly one profile fits, so a shared family name links nobody.
 
-Blocks are deletion neighbourhoods of tokens: tokens one slip apart share a key. A key that many spellings have is not
-compared but refined by pairing it with a second such key, which a match must share as well.
+What identifies a name is its rarest token: the number of spellings that hold a token, one a slip apart, or the frequent
+word it abbreviates, is counted over all rows of the type. The rarest token of both spellings must be the same but for a
+slip or a nickname; an abbreviation only ever stands for one of the more frequent tokens, and a token that is left over
+is never the rarest. Blocks are deletion neighbourhoods of the rarest token alone. A token that d spellings hold is the
+rarest of at most min(d, number of tokens as frequent) two-token spellings, so no block outgrows the square root of the
+table, whatever a third of the rows share.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,23 +30,32 @@ from lorebase.llm.components import connected_components
 from lorebase.session import cut
 
 TYPES = ("Person", "Organisation")
-BLOCK = 48
+FLOOR = 8  # tokens of fewer spellings count as equally rare: a name's own variants are about as many
+NEAR = 2  # tokens up to this much more frequent than the rarest are rarest as well
+COMMON_SHARE = 1 / 2_000  # share of a type's spellings from which a token may be what others abbreviate; bounds their number
 
 TITLES = frozenset("mr mrs ms miss mx dr prof professor doctor sir madam herr frau sr sra mme mlle rev".split())
 LEGAL = frozenset("the of and co company ltd limited llc inc gmbh pty plc corp corporation ag sa holding holdings".split())
 # words that stand for a role or a relation and name nobody
 ROLES = frozenset("my our her his their mum mom dad mother father boss manager coach gp doctor landlord neighbour neighbor office school head the team teacher colleague wife husband partner friend sister brother therapist".split())
 
-# given name: its short forms
+# common English given names and their usual short forms
 SHORT = {
-    "abigail": "abby gail", "alexander": "alex sasha xander sandy al", "anthony": "tony ant", "benjamin": "ben benny", "christopher": "chris kit topher", "daniel": "dan danny", "deborah": "deb debbie",
-    "edward": "ed eddie ned ted ward", "elizabeth": "liz beth betty eliza lizzie bess lisa", "francesca": "fran frankie chess", "frederick": "fred freddie fritz", "gabriella": "gabby ella gabi", "gregory": "greg",
-    "henrietta": "etta hattie hen", "isabella": "bella izzy isa", "jeremiah": "jerry jem", "jonathan": "jon jonny nathan", "josephine": "jo josie posy", "katherine": "kate kathy kitty kat katie kit kay",
-    "kimberly": "kim kimmy", "leonard": "len leo lenny", "madeline": "maddie mads", "margaret": "maggie peggy meg marge greta madge", "matthew": "matt matty", "nathaniel": "nate nathan nat", "nicholas": "nick nicky",
-    "olivia": "liv livvy ollie", "patricia": "pat patty trish tricia", "penelope": "penny nell", "raymond": "ray", "rebecca": "becky bex becca", "robert": "rob bob bobby robbie bert", "samantha": "sam sammy",
-    "stephanie": "steph stevie", "susannah": "sue susie sukie", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "victoria": "vicky tori vic", "vincent": "vince vinny vin",
-    "william": "will bill billy liam", "winifred": "winnie fred freda", "zachary": "zach zak", "wilhelmina": "mina billie willa", "michael": "mike mick", "james": "jim jamie", "richard": "rick dick richie", "charles": "charlie chuck",
-    "joseph": "joe joey", "david": "dave", "jennifer": "jen jenny", "andrew": "andy drew", "catherine": "cathy cat kate", "eleanor": "ellie nora nell", "samuel": "sam sammy", "peter": "pete", "dorothy": "dot dolly",
+    "abigail": "abby gail", "adelaide": "addie", "albert": "al bert bertie", "alexander": "alex sasha xander sandy al", "alexandra": "alex sandra sasha", "alfred": "alf alfie fred", "alice": "allie", "alison": "ali allie", "amanda": "mandy", "andrew": "andy drew",
+    "angela": "angie", "anne": "annie nan nancy", "anthony": "tony ant", "antonia": "toni", "archibald": "archie", "arthur": "art artie", "augustus": "gus", "barbara": "barb babs", "barnaby": "barney", "bartholomew": "bart", "beatrice": "bea trixie", "benjamin": "ben benny",
+    "bernard": "bernie", "bridget": "biddy bridie", "calvin": "cal", "cameron": "cam", "caroline": "carrie caro", "catherine": "cathy cat kate katie kitty", "cecilia": "cissy celia", "charles": "charlie chuck chas", "charlotte": "lottie charlie", "christina": "chris tina chrissy",
+    "christopher": "chris kit topher", "clarence": "clare", "clifford": "cliff", "constance": "connie", "cynthia": "cindy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "desmond": "des", "dominic": "dom nick", "donald": "don donnie", "dorothy": "dot dolly dottie",
+    "douglas": "doug", "edmund": "ed ned ted", "edward": "ed eddie ned ted teddy", "eleanor": "ellie nora nell", "elizabeth": "liz beth betty eliza lizzie bess lisa", "emily": "em emmy", "ernest": "ernie", "eugene": "gene", "evelyn": "evie", "florence": "flo flossie",
+    "frances": "fran frankie", "francesca": "fran frankie chess", "francis": "frank fran", "franklin": "frank", "frederick": "fred freddie fritz", "gabriel": "gabe", "gabriella": "gabby ella gabi", "geoffrey": "geoff", "george": "georgie", "gerald": "gerry jerry", "gilbert": "gil bert",
+    "gregory": "greg", "gwendolyn": "gwen", "harold": "harry hal", "harriet": "hattie", "helen": "nell nellie", "henrietta": "etta hattie hen", "henry": "harry hal hank", "herbert": "bert herb", "irene": "rene", "isaac": "ike zac", "isabella": "bella izzy isa", "jacob": "jake",
+    "jacqueline": "jackie", "james": "jim jimmy jamie", "janet": "jan", "jeffrey": "jeff", "jennifer": "jen jenny", "jeremiah": "jerry jem", "jeremy": "jem jerry", "jessica": "jess jessie", "joanna": "jo joey", "jonathan": "jon jonny nathan", "joseph": "joe joey", "josephine": "jo josie posy",
+    "joshua": "josh", "judith": "judy", "julia": "jules", "katherine": "kate kathy kitty kat katie kit kay", "kenneth": "ken kenny", "kimberly": "kim kimmy", "laurence": "larry laurie", "leonard": "len leo lenny", "leopold": "leo", "lillian": "lil lily", "louisa": "lou", "lucille": "lucy",
+    "madeline": "maddie mads", "magdalene": "maggie lena", "margaret": "maggie peggy meg marge greta madge", "martha": "marty", "martin": "marty", "matthew": "matt matty", "maxwell": "max", "melissa": "mel missy", "michael": "mike mick", "millicent": "millie", "mitchell": "mitch",
+    "montgomery": "monty", "natalie": "nat", "nathaniel": "nate nathan nat", "nicholas": "nick nicky", "oliver": "ollie", "olivia": "liv livvy ollie", "oswald": "oz", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy", "penelope": "penny nell", "peter": "pete",
+    "philip": "phil pip", "prudence": "prue", "raymond": "ray", "rebecca": "becky bex becca", "reginald": "reg reggie", "richard": "rick dick richie", "robert": "rob bob bobby robbie bert", "roderick": "rod", "ronald": "ron ronnie", "rosemary": "rosie", "rudolph": "rudy", "russell": "russ",
+    "samantha": "sam sammy", "samuel": "sam sammy", "sebastian": "seb", "sidney": "sid", "solomon": "sol", "stanley": "stan", "stephanie": "steph stevie", "stephen": "steve stevie", "stuart": "stu", "susan": "sue susie", "susannah": "sue susie sukie", "sylvester": "sly", "sylvia": "syl",
+    "terence": "terry", "theodora": "thea dora", "theodore": "ted theo teddy", "theresa": "tess terry", "thomas": "tom tommy", "timothy": "tim timmy", "tobias": "toby", "ursula": "ulla", "valentine": "val", "veronica": "ronnie vera", "victor": "vic", "victoria": "vicky tori vic", "vincent": "vince vinny vin",
+    "virginia": "ginny", "vivian": "viv", "walter": "walt wally", "wilfred": "wilf fred", "wilhelmina": "mina billie willa", "william": "will bill billy liam", "winifred": "winnie fred freda", "winston": "win", "yvonne": "vonnie", "zachary": "zach zak",
 }
 FORMAL: dict[str, frozenset[str]] = {}
 for _name, _short in SHORT.items():
@@ -82,28 +94,59 @@ def slip(a: str, b: str) -> bool:
 
 
 def shortened(a: str, b: str) -> bool:
-    """Whether the shorter token abbreviates the other: same first letter, its letters in order, not much of a rest."""
+    """Whether the shorter token abbreviates the other: its beginning, or its first letter and at least two fifths of
+    its letters in order."""
     if len(a) > len(b):
         a, b = b, a
     if len(a) < 2 or a[0] != b[0] or len(a) == len(b):
         return False
+    if b.startswith(a):
+        return True
     letters = iter(b)
-    return all(c in letters for c in a)
+    return 5 * len(a) >= 2 * len(b) and all(c in letters for c in a)
+
+
+def close_token(a: str, b: str, person: bool) -> bool:
+    """Whether two tokens are the same but for a slip or, for persons, a nickname."""
+    return slip(a, b) or (person and bool(FORMAL.get(a, frozenset()) & FORMAL.get(b, frozenset())))
 
 
 def same_token(a: str, b: str, person: bool) -> bool:
-    if slip(a, b):
-        return True
-    return bool(FORMAL.get(a, frozenset()) & FORMAL.get(b, frozenset())) if person else shortened(a, b)
+    return close_token(a, b, person) or (not person and shortened(a, b))
+
+
+def covers(a: list[str], b: list[str], person: bool) -> bool:
+    """Whether every token of a has its own match in b (augmenting paths)."""
+    taken: dict[int, int] = {}
+
+    def place(i: int, seen: set[int]) -> bool:
+        for j, y in enumerate(b):
+            if j not in seen and same_token(a[i], y, person):
+                seen.add(j)
+                if j not in taken or place(taken[j], seen):
+                    taken[j] = i
+                    return True
+        return False
+
+    return all(place(i, set()) for i in range(len(a)))
 
 
-def same_name(a: list[str], b: list[str], person: bool) -> bool:
-    """Whether every token of the shorter full spelling has its own match in the other, and at least two do."""
+def same_name(a: list[str], b: list[str], person: bool, rare_a: Iterable[str] | None = None, rare_b: Iterable[str] | None = None) -> bool:
+    """Whether two full spellings (two tokens or more) name the same: a rarest token of each is the same but for a slip
+    or a nickname, and every other token of the shorter spelling has its own match in the longer one."""
     if len(a) > len(b):
-        a, b = b, a
-    if len(a) < 2 or len(b) > 6:
-        return a == b and len(a) >= 2
-    return any(all(same_token(x, y, person) for x, y in zip(a, order, strict=True)) for order in permutations(b, len(a)))
+        a, b, rare_a, rare_b = b, a, rare_b, rare_a
+    if len(a) < 2:
+        return False
+    for x in a if rare_a is None else rare_a:
+        for y in b if rare_b is None else rare_b:
+            if close_token(x, y, person):
+                rest_a, rest_b = list(a), list(b)
+                rest_a.remove(x)
+                rest_b.remove(y)
+                if covers(rest_a, rest_b, person):
+                    return True
+    return False
 
 
 def variants(token: str) -> set[str]:
@@ -148,46 +191,72 @@ def spellings(df: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
     return rows.mapInPandas(_spellings, SPELLINGS)
 
 
+def variants_of(token: str) -> Column:
+    """variants() as a column expression."""
+    cut_out = lambda i: F.concat(F.substring(F.col(token), F.lit(1), i - 1), F.substring(F.col(token), i + 1, F.length(token)))
+    dropped = F.when(F.length(token) >= 4, F.transform(F.sequence(F.lit(1), F.length(token)), cut_out)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.col(token)), dropped))
+
+
+@F.pandas_udf(T.LongType())
+def abbreviated(token: pd.Series, common: pd.Series) -> pd.Series:
+    """Frequency of the most frequent common token that a token abbreviates, 0 if none."""
+    return pd.Series([max((c["n"] for c in own if len(c["token"]) > len(t) and shortened(t, c["token"])), default=0) for t, own in zip(token, common, strict=True)], dtype="int64")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def block_keys(full: pd.Series, kind: pd.Series) -> pd.Series:
-    """Keys of a full spelling, each with the place of its token: ``place|key``."""
-    out = []
-    for row, k in zip(full, kind, strict=True):
-        keys = set()
-        for place, token in enumerate(row):
-            forms = {token} | (FORMAL.get(token, frozenset()) if k == "Person" else frozenset())
-            keys |= {f"{place}|{v}" for form in forms for v in variants(form)}
-            if k != "Person":
-                keys.add(f"{place}|^{token[0]}")
-        out.append(sorted(keys))
-    return pd.Series(out)
+def forms(token: pd.Series) -> pd.Series:
+    """A given name, and the formal names it may stand for."""
+    return pd.Series([[t, *sorted(FORMAL.get(t, frozenset()) - {t})] for t in token])
+
+
+def token_weights(names: DataFrame) -> DataFrame:
+    """(kind, token, weight): in how many spellings a token occurs, itself, a slip apart, or as what it abbreviates.
+
+    names: kind, full. Every aggregation is on a token or a piece of one and combined before the exchange; the list of
+    common tokens to a first letter has at most tokens a spelling / COMMON_SHARE entries.
+    """
+    df = cut(names.select("kind", F.explode("full").alias("token")).groupBy("kind", "token").agg(F.count("*").alias("n")))
+    keyed = df.select("kind", "token", "n", F.explode(variants_of("token")).alias("key"))
+    most = keyed.groupBy("kind", "key").agg(F.max("n").alias("m"))
+    near = keyed.join(most, ["kind", "key"]).groupBy("kind", "token").agg(F.max("m").alias("near"))
+    total = names.groupBy("kind").agg(F.count("*").alias("total"))
+    common = df.join(F.broadcast(total), "kind").filter((F.col("kind") != "Person") & (F.col("n") >= F.greatest(F.lit(2), F.col("total") * COMMON_SHARE)))
+    letter = F.substring("token", 1, 1).alias("letter")
+    common = common.groupBy("kind", letter).agg(F.collect_list(F.struct("token", "n")).alias("common"))
+    # the common tokens are few by their share, so the small side of this join is bounded
+    whole = df.withColumn("letter", letter).join(F.broadcast(common), ["kind", "letter"], "left")
+    short = whole.filter("common IS NOT NULL").select("kind", "token", abbreviated("token", "common").alias("meant"))
+    both = near.join(df, ["kind", "token"]).join(short, ["kind", "token"], "left")
+    return both.select("kind", "token", F.greatest(F.lit(FLOOR), "n", "near", F.coalesce("meant", F.lit(0))).alias("weight"))
 
 
 @F.pandas_udf(T.BooleanType())
-def matching(a: pd.Series, b: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([same_name(list(x), list(y), k == "Person") for x, y, k in zip(a, b, kind, strict=True)])
+def matching(a: pd.Series, b: pd.Series, rare_a: pd.Series, rare_b: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([same_name(list(x), list(y), k == "Person", list(r), list(s)) for x, y, r, s, k in zip(a, b, rare_a, rare_b, kind, strict=True)])
+
+
+def candidates(names: DataFrame) -> DataFrame:
+    """(na, nb), na < nb: spellings that share a deletion of one of their rarest tokens. names: name, kind, rare."""
+    rare = names.select("name", "kind", F.explode("rare").alias("token"))
+    people = rare.filter("kind = 'Person'").select("name", "kind", F.explode(forms("token")).alias("token"))
+    keyed = people.unionByName(rare.filter("kind <> 'Person'")).select("name", F.explode(variants_of("token")).alias("key"), "kind")
+    blocks = cut(keyed.select("name", F.xxhash64("kind", "key").alias("key")).distinct())
+    a, b = blocks.alias("a"), blocks.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name")))
+    return met.select(F.col("a.name").alias("na"), F.col("b.name").alias("nb")).distinct()
 
 
 def full_links(full: DataFrame) -> DataFrame:
     """Links (src, dst) between rows whose full spellings match. full: id, kind, full (two tokens or more)."""
-    names = cut(full.groupBy("kind", "full").agg(F.min("id").alias("rep")))
+    names = cut(full.groupBy("kind", "full").agg(F.min("id").alias("rep")).withColumn("name", F.xxhash64("kind", "full")))
     shared = full.join(names, ["kind", "full"]).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    tagged = names.select("kind", F.xxhash64("kind", "full").alias("name"), F.explode(block_keys("full", "kind")).alias("k"))
-    keyed = cut(tagged.select("kind", "name", F.split("k", r"\|", 2).getItem(0).alias("place"), F.split("k", r"\|", 2).getItem(1).alias("key")))
-    sizes = keyed.groupBy("kind", "key").agg(F.countDistinct("name").alias("n")).filter("n > 1")
-    sized = keyed.join(sizes, ["kind", "key"])
-    cold = sized.filter(F.col("n") <= BLOCK).select("kind", "key", "name").distinct()
-    hot = sized.filter(F.col("n") > BLOCK).select("kind", "key", "name", "place")
-    h1, h2 = hot.alias("x"), hot.alias("y")
-    double = h1.join(h2, (F.col("x.name") == F.col("y.name")) & (F.col("x.place") != F.col("y.place")) & (F.col("x.key") < F.col("y.key")))
-    double = double.select(F.col("x.kind").alias("kind"), F.concat_ws("\1", "x.key", "y.key").alias("key"), F.col("x.name").alias("name")).distinct()
-    blocks = cut(cold.unionByName(double))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name")))
-    pairs = pairs.select(F.col("a.name").alias("na"), F.col("b.name").alias("nb")).distinct()
-    look = names.select(F.xxhash64("kind", "full").alias("name"), "kind", "full", "rep")
-    left, right = (look.select(F.col("name").alias(f"n{s}"), F.col("full").alias(f"f{s}"), F.col("rep").alias(f"r{s}"), F.col("kind").alias(f"k{s}")) for s in "ab")
-    checked = pairs.join(left, "na").join(right, "nb").filter("ka = kb").filter(matching("fa", "fb", "ka"))
+    tokens_ = names.select("kind", "name", F.explode("full").alias("token")).join(token_weights(names), ["kind", "token"])
+    rarest = tokens_.groupBy("name").agg(F.min("weight").alias("least"), F.collect_list(F.struct("token", "weight")).alias("all"))
+    rare = F.transform(F.filter("all", lambda t: t["weight"] <= NEAR * F.col("least")), lambda t: t["token"])
+    look = cut(names.join(rarest.select("name", rare.alias("rare")), "name"))
+    left, right = (look.select(F.col("name").alias(f"n{s}"), F.col("full").alias(f"f{s}"), F.col("rare").alias(f"w{s}"), F.col("rep").alias(f"r{s}"), F.col("kind").alias(f"k{s}")) for s in "ab")
+    checked = candidates(look).join(left, "na").join(right, "nb").filter("ka = kb").filter(matching("fa", "fb", "wa", "wb", "ka"))
     return shared.union(checked.select(F.col("ra").alias("src"), F.col("rb").alias("dst"))).filter("src <> dst")
 
 

@@ -12,7 +12,7 @@ from lorebase.llm.borda import borda, ranking
 from lorebase.llm.components import connected_components, contract
 from lorebase.llm.conversations import judged, rebuilt
 from lorebase.llm.leaks import Automaton, cleaned, leaks, words
-from lorebase.llm.names import resolved, same_name, shortened, slip, tokens
+from lorebase.llm.names import candidates, covers, resolved, same_name, shortened, slip, token_weights, tokens
 from lorebase.llm.personal import detect, kinds, redact, redacted
 from lorebase.llm.quality import NAMES, is_prose, junk, profiles, sketches, statistics, tails
 from lorebase.llm.vectors import close_pairs, nearest
@@ -146,6 +146,9 @@ def test_name_tokens():
     assert tokens("The RadrikuzanSoftware & Co. GmbH", False) == ["radrikuzan", "software"]
     assert slip("thomas", "thoams") and slip("thomas", "thoma") and slip("thomas", "thommas") and not slip("thomas", "thxxas") and not slip("bob", "rob")
     assert shortened("hsg", "housing") and shortened("netwk", "network") and not shortened("sft", "housing")
+    assert not shortened("grp", "gpaznonrapid")
+    assert not same_name(["gpaznonrapid", "media"], ["grp", "media", "zoflik"], False, ["gpaznonrapid"], ["zoflik"]) and covers(["a"] * 9, ["a"] * 9, False) and not covers(["ab", "ab"], ["ab", "cd"], False)
+    assert same_name(["hsg", "trust", "zoflik"], ["housing", "trust", "zolfik"], False, ["zoflik"], ["zolfik"]) and not same_name(["hsg", "trust", "zoflik"], ["housing", "trust", "budral"], False, ["zoflik"], ["budral"])
     assert same_name(["bob", "ruvelozal"], ["ruvelozal", "robert"], True) and not same_name(["keiko", "ruvelozal"], ["katherine", "ruvelozal"], True)
 
 
@@ -168,8 +171,8 @@ def test_names(spark):
     assert resolved(df.limit(0)).count() == 0
 
 
-def test_hot_blocks_keep_pairs(spark):
-    # more spellings share each token than a block holds, so pairs must come from doubled keys
+def test_hot_tokens_keep_pairs(spark):
+    # a third of all spellings share each given name, so only the family name may block
     given = ["alexander", "christopher", "elizabeth"]
     data = [(i, f"{given[i % 3].title()} Mc{chr(97 + i % 26)}{chr(97 + i // 26)}smithson", "Person", []) for i in range(300)]
     data.append((1_000, "Christopher Mcbasmithso", "Person", []))
@@ -178,6 +181,43 @@ def test_hot_blocks_keep_pairs(spark):
     assert got[1_000] == got[1]
 
 
+def test_names_of_an_enlarged_table(spark):
+    """Every firm has its own three spellings; a firm whose name holds the letters of a trade's short form bridges nothing."""
+    rng = random.Random(5)
+    trades = [("Media Group", "Media Grp"), ("Housing Trust", "Hsg Trust"), ("Health Network", "Hlth Netwk"), ("Foods", "Food"), ("Transport", "Transp."), ("Research Institute", "Research Inst.")]
+    data, truth, firms = [], {}, set()
+    while len(firms) < 400:
+        firms.add("".join(rng.choice("bdfgklmprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(4, 6))).title())
+    for n, firm in enumerate(sorted(firms)):
+        long, short = trades[n % len(trades)]
+        for text in (f"{firm} {long}", f"{firm} {short}", f"{long} of {firm}"):
+            truth[len(data)] = firm
+            data.append((len(data), text, "Organisation", ["head office"]))
+    for text in ("Gpaznonrapid Media", "Hosaging Trust", "Tramunsporp Foods", "Media Grp"):
+        truth[len(data)] = text
+        data.append((len(data), text, "Organisation", None))
+    df = spark.createDataFrame(data, "id long, name string, entity_type string, aliases array<string>")
+    groups = {}
+    for r in resolved(df).collect():
+        groups.setdefault(r.cluster, set()).add(truth[r.id])
+    crossing = [g for g in groups.values() if len(g) > 1]
+    near = [g for g in crossing if all(any(slip(a.lower(), b.lower()) for b in g if b != a) for a in g)]  # families a letter apart
+    assert crossing == near and len(near) < 4 and len(groups) == len(firms) + 4 - sum(len(g) - 1 for g in near)
+
+
+def test_name_candidates_grow_with_the_rows(spark):
+    rng = random.Random(6)
+    counts = []
+    for n in (300, 3_000):
+        firms = ["".join(rng.choice("bdfgklmprstvz") + rng.choice("aeiou") for _ in range(6)) for _ in range(n)]
+        names = spark.createDataFrame([(i, "Organisation", sorted([f, rng.choice(["media", "foods", "trust"])])) for i, f in enumerate(firms)], "name long, kind string, full array<string>")
+        weights = token_weights(names).filter("weight > 16").select("token")
+        assert {r.token for r in weights.collect()} == {"media", "foods", "trust"}
+        rare = names.join(weights.withColumnRenamed("token", "t"), F.array_contains("full", F.col("t"))).select("name", "kind", F.array_remove("full", F.col("t")).alias("rare"))
+        counts.append(candidates(rare).count())
+    assert counts[1] < 3_000
+
+
 PII = [
     ("Call 617-555-0159 after six", {"phone"}), ("zero four nine one five seven zero zero zero six", {"phone"}), ("+49 (0)30/23125-345", {"phone"}), ("I rang 020 79460201 and 01 99 00 40 47", {"phone"}),
     ("gabriella.guwewode(at)inbox(dot)invalid", {"email"}), ("nivi @ quarry-mail.test", {"email"}), ("login jo at post dot tolvane dot example now", {"email"}), ("NORDLYS_A93@NORDLYS.EXAMPLE", {"email"}),
