@@ -3,19 +3,29 @@
 Two transducers rewrite a text and keep, for every character they put out, the place of its source: one maps homoglyphs
 to the letters they imitate and drops invisible characters, the other turns spelled digits into digits and at/dot
 disguises into signs. Detectors run on the result; their spans are mapped back, so the text around stays as it was.
+
+Names are found by form and context: titles, initials, and pairs of capitalised words neither of which the texts use as
+an ordinary word. What is ordinary, which words are followed by many different family names (given names, wherever they
+come from), and which pairs are fixed phrases is counted over all texts first (``Lexicon``); a short list of common given
+names serves where there is nothing to count.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.names import SHORT
+from lorebase.llm.quality import WORDS
+from lorebase.session import cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
@@ -39,11 +49,10 @@ _DOT = r"\s*[(\[{<]\s*(?:dot|punkt|punto|point)\s*[)\]}>]\s*|\s+(?:dot|punkt|pun
 _LABEL = r"[^\W_](?:[\w\-]*[^\W_])?"
 _DISGUISED = re.compile(rf"(?P<local>\w[\w.+\-]*)(?P<at>{_AT}|\s+@\s+|\s+at\s+|\s+arroba\s+)(?P<domain>{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+)", re.I)
 _DOTS = re.compile(_DOT, re.I)
+_SPOKEN_SIGNS = frozenset("dot punkt punto arroba".split())
 _HINT = re.compile(r"[(\[{<]\s*(?:at|ät|arroba|arobase|dot|punkt|punto|point)\s*[)\]}>]|\s@\s|\b(?:dot|punkt|punto|arroba)\b", re.I)
 
 
-_SIGNS = ("(", "[", "{", "<", "@", "dot", "DOT", "Dot", "punkt", "punto", "arroba")
-
 
 class Mapped:
     """A rewritten text with the source span of each of its characters."""
@@ -101,7 +110,7 @@ def normalised(text: str, words: set[str] | None = None) -> Mapped:
         words = set(_WORD.findall(out.text.lower()))
     if not words.isdisjoint(SPOKEN) and _SPOKEN.search(out.text):
         out.replace([(m.start(), m.end(), "".join(SPOKEN[d.lower()] for d in _ONE.findall(m.group()))) for m in _SPOKEN.finditer(out.text)])
-    if any(x in out.text for x in _SIGNS) and _HINT.search(out.text):
+    if (not words.isdisjoint(_SPOKEN_SIGNS) or any(c in out.text for c in "([{<@")) and _HINT.search(out.text):
         edits = []
         for m in _DISGUISED.finditer(out.text):
             spoken_at = m["at"].strip().lower() in ("at", "arroba")
@@ -124,12 +133,34 @@ IDS = re.compile(
     |\b[12]\ ?\d{2}\ ?(?:0[1-9]|1[0-2])\ ?\d{2}\ ?\d{3}\ ?\d{3}\ ?\d{2}\b""",
     re.X,
 )
-ID_SAID = re.compile(
+_CUE = (
     r"(?:passport|reisepass|passeport|pasaporte|driv(?:er|ing)(?:['’]?s)?\s+licen[cs]e|führerschein\w*|permis|tax\s+(?:file\s+|id\s*|identification\s+)?(?:number|no|id)|\bTFN\b|steuer-?\s?(?:id|nummer|identifikationsnummer)"
     r"|social\s+(?:security|insurance)|\bSSN\b|national\s+(?:insurance|id|identity)|\bNI\b|\bDNI\b|\bNIE\b|\bNIF\b|\bNHS\b|medicare|health\s+(?:card|insurance)|patient(?:en)?(?:\s+|-)?(?:number|no|nummer|id)|personalausweis\w*|identity\s+card|insurance\s+number)"
-    r"[^\n;!?]{0,24}?[\s(:#]((?=[A-Z\d\- ]*\d)[A-Z]{0,3}-?\d(?:[\d \-/]{4,16})\d[A-Z]?)(?![\w])",
+)
+# every cue has one of these stems in it, or one of these words
+_ID_STEMS = ("passport", "reisepass", "passeport", "pasaporte", "licen", "führerschein", "permis", "tax", "steuer", "social", "national", "medicare", "health", "patient", "personalausweis", "identity", "insurance")
+_ID_WORDS = frozenset("tfn ssn ni dni nie nif nhs".split())
+ID_SAID = re.compile(
+    _CUE + r"[^\n;!?]{0,24}?[\s(:#]((?=[A-Z\d\- ]*\d)[A-Z]{0,3}-?\d(?:[\d \-/]{4,16})\d[A-Z]?|(?-i:(?=[A-Z]*\d[A-Z]*\d)[A-Z][A-Z\d]{5,11}))(?![\w])",
     re.I,
 )
+ACCOUNT = re.compile(r"(?<![\w.\-])[A-Z]{2}\d{2}(?:\ ?[A-Z\d]{4}){2,7}(?:\ ?[A-Z\d]{1,3})?(?![\w])")
+CARD = re.compile(r"(?<![\w.\-+])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\w]|[.\-]\d)")
+
+
+def sound_account(text: str) -> bool:
+    """Whether the check digits of an international account number hold (remainder 1 by 97)."""
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def sound_card(text: str) -> bool:
+    """Whether the last digit of a card number is its check digit (Luhn)."""
+    digits = [int(c) for c in text if c.isdigit()]
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+
 PHONE = re.compile(
     r"""(?<![\w.+/\-])(?:
       \+\d{1,3}[\ .\-]?(?:\(0\)[\ ]?)?(?:\(\d{1,4}\)[\ ]?)?\d(?:[\ .\-/]?\d){5,12}
@@ -154,10 +185,8 @@ ADDRESS = re.compile(
 # words that no street name consists of
 NOT_STREET = frozenset("of and the a an to in on at is are was for by with from behind before after main more times minutes hours days weeks months years people commits rows bytes percent other small big new good way different or than as it not we you i that this of's only each per out into over under next last first".split())
 
-GIVEN = frozenset(SHORT) | frozenset(
-    "mireille dariela jovan valdis anselm hamish cosima lucinda tamsin ingrid goran lorcan kamala bronwyn farida beatrix yorick zelda perpetua noor quillon dmitri osric keiko siobhan idris devon halina aniket tariq yusra rosalind ulrika corwin marla eamon nadia bashir severin xanthe "
-    "anna maria laura sarah emma julia hannah john paul george mark mary linda susan karen helen ruth alice clara sofia lucia carmen jose juan carlos luis miguel pedro pablo javier diego hans peter klaus jürgen stefan markus wolfgang monika petra sabine ursula pierre jean marie claire sophie camille luc antoine".split()
-)
+# given names common in the four languages
+GIVEN = frozenset(SHORT) | frozenset("anna maria laura sarah emma hannah john paul mark mary linda karen ruth clara sofia lucia carmen jose juan carlos luis miguel pedro pablo javier diego hans klaus jürgen stefan markus wolfgang monika petra sabine pierre jean marie claire sophie camille luc antoine".split())
 NICK = frozenset(s for short in SHORT.values() for s in short.split()) - frozenset("al ant dot drew hen".split())
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Sir|Frau|Herr|Mme|Mlle|Monsieur|Madame|Señora?|Sra|Sr|Doña|Don)"
 TITLES = frozenset(re.findall(r"\w+", TITLE.replace("ñora?", "ñora señor").lower())) | {"señor", "señora"}
@@ -167,6 +196,7 @@ _NAME = r"[^\W\d_a-zà-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 TITLED = re.compile(rf"\b{TITLE}\b\.?\s+(?:{_NAME}\s+|[A-Z]\.\s*)*{_NAME}")
 INITIALLED = re.compile(rf"(?<![\w.'’])(?<![\dº]\s)(?<!\b[A-Z]\s)[A-Z]\.\s?(?:[A-Z]\.\s?)?({_NAME})")
 PAIR = re.compile(r"(?<![\w@.])([^\W\d_]{2,})(\s+)(?:[A-Za-z]\.?\s+)?([^\W\d_]{3,}(?:[-'’][^\W\d_]+)*)")
+CAPITALS = re.compile(r"(?<![\w@.'’\-])([A-ZÀ-ÖØ-Þ][^\W\d_A-ZÀ-ÖØ-Þ]+)[ \t]+(?=([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][^\W\d_]+)*))")
 TURNED = re.compile(r"(?<![\w@.])([^\W\d_]{3,}(?:[-'’][^\W\d_]+)*),\s+([^\W\d_]{2,}|[A-Z]\.)(?![\w@])")
 _WORD = re.compile(r"[^\W\d_]+")
 # what may stand after a given name, or open a sentence after an initial, and is no family name
@@ -175,6 +205,16 @@ NOT_FAMILY = frozenset(
     "honestly correction however maybe perhaps please thanks every what why how if it its he she they we you his her their my our your since after before because while as so no yes one two three der die das und ist war hat sagt le la les et est el los las es un una que pero por".split()
 )
 
+# closed-class words that open a sentence or a noun phrase, months and days; none is part of a name
+OPENERS = NOT_FAMILY | WORDS | frozenset(
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag zur zum am im beim vom meine mein meinen meiner unser unsere ihr ihre sein seine eine einen einer letzte letzten nächste dieser diese dieses jede jeder "
+    "mon ma mes notre nos votre vos leur leurs son sa ses ce cette ces un une des du au aux dernier dernière mis tus sus nuestra nuestro nuestras nuestros esta este estas estos última último "
+    "whether these those another both either neither many most more next last first old new early late former dear hi hello hey thanks regards best".split()
+)
+# what places, firms and works are called by
+KINDS_OF_PLACE = frozenset("hill bend park bridge river lake valley mount mountain island beach bay harbour harbor station airport hall house hotel castle church cathedral school college university hospital clinic museum library bank trust group media housing network foundation institute robotics software logistics insurance foods transport engineering holdings company inc ltd gmbh street road city town village county club team union project studio repair guide manual edition series weg platz allee gasse straße strasse hof berg see brücke kirche".split())
+
 # the second word of product, font and theme names that begin like a person
 STYLE = frozenset("dark light mono sans serif pro neo plus max mini bold italic code theme regular black classic studio".split())
 THEME = re.compile(r"\b(?:theme|project|product|package|font|palette|branch|release|plugin)s?\s+(?:called\s+|named\s+)?$", re.I)
@@ -187,7 +227,41 @@ def _opens(text: str, at: int) -> bool:
     return not before or before[-1] in ".!?:\n"
 
 
-def _person_spans(text: str, words: frozenset[str] | set[str]) -> Iterator[tuple[int, int]]:
+@dataclass(frozen=True)
+class Lexicon:
+    """What counting over all texts tells: words used as ordinary ones, words followed by many family names, and the
+    first words of pairs that are nearly always the same two words."""
+
+    ordinary: frozenset[str] = frozenset()
+    given: frozenset[str] = frozenset()
+    fixed: frozenset[str] = frozenset()
+
+
+NOTHING = Lexicon()
+
+
+def _plain_pair(a: str, b: str, lexicon: Lexicon) -> bool:
+    """Whether two capitalised words can be a given and a family name, as far as the words themselves tell."""
+    if a in OPENERS or b in OPENERS or a in lexicon.ordinary or b in lexicon.ordinary or a in TITLES:
+        return False
+    return not (b in STYLE or a in STYLE or a in _STREETISH or b in _STREETISH or a in KINDS_OF_PLACE or b in KINDS_OF_PLACE)
+
+
+def _capital_spans(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
+    """Pairs of capitalised words that are no ordinary words. A run of more is a title, not a name."""
+    found = [(m.start(), m.end(1), m.end(2), m.group(1).lower(), m.group(2).lower(), m.group(2)) for m in CAPITALS.finditer(text)]
+    first = {x[0] for x in found}
+    second = {x[2] for x in found if x[3] not in OPENERS and x[3] not in lexicon.ordinary}
+    for start, middle, end, a, b, family in found:
+        after = end - len(family)
+        if a in lexicon.fixed or not _plain_pair(a, b, lexicon) or middle in second or (after in first and b not in lexicon.given):
+            continue
+        if family.isupper() or THEME.search(text, max(0, start - 24), start):
+            continue
+        yield start, end
+
+
+def _person_spans(text: str, words: frozenset[str] | set[str], lexicon: Lexicon = NOTHING) -> Iterator[tuple[int, int]]:
     if not TITLES.isdisjoint(words):
         for m in TITLED.finditer(text):
             yield m.span()
@@ -196,7 +270,8 @@ def _person_spans(text: str, words: frozenset[str] | set[str]) -> Iterator[tuple
             family = m.group(1)
             if family.lower() not in NOT_FAMILY and len(family) > 3:
                 yield m.span()
-    known = KNOWN
+    yield from _capital_spans(text, lexicon)
+    known, lower = KNOWN | lexicon.given, GIVEN | lexicon.given
     if known.isdisjoint(words):
         return
     at = 0
@@ -209,18 +284,59 @@ def _person_spans(text: str, words: frozenset[str] | set[str]) -> Iterator[tuple
         if given[0].isupper() and family[0].isupper():
             if family.lower() not in STYLE and not THEME.search(text, max(0, m.start() - 24), m.start()) and not (low == "will" and _opens(text, m.start())):
                 yield m.span()
-        elif low in GIVEN and given.islower() and family.islower() and len(family) > 4:
+        elif low in lower and given.islower() and family.islower() and len(family) > 4 and family not in lexicon.ordinary and family not in OPENERS:
             yield m.span()
     at = 0
     while (m := TURNED.search(text, at)) is not None:
         family, given = m.group(1), m.group(2)
         at = m.end(1)
-        if given.lower() in known and given[0].isupper() and family[0].isupper() and family.lower() not in NOT_FAMILY and family.lower() not in known and not family.lower().endswith("ly"):
+        low = family.lower()
+        if given.lower() in known and given[0].isupper() and family[0].isupper() and low not in NOT_FAMILY and low not in known and low not in lexicon.ordinary and not low.endswith("ly"):
             rest = text[m.end() : m.end() + 2]
             if not (rest[:1] == " " and rest[1:2].isupper()):
                 yield m.span()
 
 
+LEAST_TEXTS = 3  # texts a word or pair must be in before it tells anything, and the share of all texts, which bounds the lexicon
+TEXT_SHARE = 1 / 100_000
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with each word (as written with a small letter, at all) and with each pair of capitalised words, summed within a batch."""
+    for batch in batches:
+        small, every, pairs = Counter(), Counter(), Counter()
+        for text in batch["__text"]:
+            found = set(_WORD.findall(text))
+            every.update({w.lower() for w in found})
+            small.update({w for w in found if w[0].islower()})
+            pairs.update({(a.lower(), b.lower()) for a, b in CAPITALS.findall(text) if not b.isupper()})
+        rows = [(w, None, small[w], n) for w, n in every.items()] + [(a, b, 0, n) for (a, b), n in pairs.items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "small", "n"])
+
+
+def learned(texts: DataFrame, text: str = "text") -> Lexicon:
+    """The lexicon of the texts. Counts are summed per batch and before the exchange; what comes to the driver are words
+    in at least TEXT_SHARE of the texts, so their number is bounded by the words of a text, whatever the rows."""
+    rows = texts.filter(F.col(text).isNotNull()).select(F.col(text).alias("__text"))
+    counts = cut(rows.mapInPandas(_counted, "a string, b string, small long, n long").groupBy("a", "b").agg(F.sum("small").alias("small"), F.sum("n").alias("n")))
+    total = rows.count()
+    least = max(LEAST_TEXTS, math.ceil(total * TEXT_SHARE))
+    ordinary = counts.filter(F.col("b").isNull() & (F.col("small") >= least) & (3 * F.col("small") >= 2 * F.col("n"))).select(F.col("a").alias("word"))
+    usual = F.broadcast(ordinary)
+    pairs = counts.filter(F.col("b").isNotNull() & ~F.col("a").isin(sorted(OPENERS))).join(usual.withColumnRenamed("word", "a"), "a", "left_anti")
+    no_family = sorted(STYLE | _STREETISH | KINDS_OF_PLACE | OPENERS)
+    pairs = pairs.join(usual.withColumnRenamed("word", "b"), "b", "left_anti")
+    heads = pairs.groupBy("a").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("n") >= least)
+    fixed = heads.filter((F.col("n") >= 5) & (5 * F.col("most") >= 4 * F.col("n"))).select(F.lit("fixed").alias("what"), F.col("a").alias("word"))
+    named = pairs.filter(~F.col("b").isin(no_family)).groupBy("a").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("kinds")).filter(F.col("n") >= least)
+    given = named.filter((F.col("kinds") >= LEAST_TEXTS) & (2 * F.col("most") < F.col("n"))).select(F.lit("given").alias("what"), F.col("a").alias("word"))
+    found: dict[str, set[str]] = {"ordinary": set(), "given": set(), "fixed": set()}
+    for what, word in ordinary.select(F.lit("ordinary").alias("what"), "word").union(fixed).union(given).collect():
+        found[what].add(word)
+    taken = TITLES | STYLE | _STREETISH | KINDS_OF_PLACE
+    return Lexicon(frozenset(found["ordinary"] - GIVEN), frozenset(found["given"] - taken), frozenset(found["fixed"] - KNOWN))
+
+
 def _digits(text: str) -> int:
     return sum(map(str.isdigit, text))
 
@@ -228,12 +344,11 @@ def _digits(text: str) -> int:
 _PHONEISH = re.compile(r"[+(\d][\d ().\-/]{7,}\d")
 _STREETISH = frozenset(_STREET.split("|")) | frozenset("calle avenida avda plaza paseo via viale rue chemin allée impasse quai".split())
 _STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|platz|allee|gasse)\s*\d", re.I)
-_ID_CUES = frozenset("passport reisepass passeport pasaporte licence license permis tfn tax steuer steuernummer ssn social national ni dni nie nif nhs medicare health patient patienten insurance identity".split())
-_ID_STEM = re.compile(r"führerschein|personalausweis|steuer|patient", re.I)
 _ANY_DIGIT = re.compile(r"\d")
+_LONG_NUMBER = re.compile(r"\d{4}[ \-]?\d{4}")
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
+def detect(text: str, lexicon: Lexicon = NOTHING) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of the source text, in order and apart from each other.
 
     The words of the text decide which detectors can find anything at all; those run over the whole text.
@@ -256,13 +371,17 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         take([m.span() for m in EMAIL.finditer(masked)], "email")
     if _ANY_DIGIT.search(body):
         take([m.span() for m in IDS.finditer(masked)], "id_number")
-        if not _ID_CUES.isdisjoint(words) or _ID_STEM.search(masked):
-            take([m.span(1) for m in ID_SAID.finditer(masked) if _digits(m.group(1)) >= 5], "id_number")
+        low = masked.lower()
+        if not words.isdisjoint(_ID_WORDS) or any(x in low for x in _ID_STEMS):
+            take([m.span(1) for m in ID_SAID.finditer(masked) if _digits(m.group(1)) >= (5 if m.group(1)[-1].isdigit() and m.group(1)[:1].isdigit() else 3)], "id_number")
+        if _LONG_NUMBER.search(masked):
+            take([m.span() for m in ACCOUNT.finditer(masked) if sound_account(m.group())], "id_number")
+            take([m.span() for m in CARD.finditer(masked) if sound_card(m.group())], "id_number")
         if _PHONEISH.search(masked):
             take([m.span() for m in PHONE.finditer(masked) if 9 <= _digits(m.group()) <= 15 and not NO_PHONE.search(masked, max(0, m.start() - 24), m.start())], "phone")
         if not _STREETISH.isdisjoint(words) or _STREET_END.search(masked):
             take([m.span() for m in ADDRESS.finditer(masked) if not m["name"] or NOT_STREET.isdisjoint(m["name"].lower().split())], "street_address")
-    take(_merged(_person_spans(masked, words)), "person_name")
+    take(_merged(_person_spans(masked, words, lexicon)), "person_name")
     spans.sort()
     return spans
 
@@ -277,22 +396,24 @@ def _merged(found: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def redact(text: str) -> str:
-    """The text with [EMAIL], [PHONE], [ID_NUMBER], [STREET_ADDRESS] and [PERSON_NAME] in place of what was found."""
-    parts, at = [], 0
-    for a, b, kind in detect(text):
+def redact(text: str, lexicon: Lexicon = NOTHING) -> tuple[str, int]:
+    """The text with [EMAIL], [PHONE], [ID_NUMBER], [STREET_ADDRESS] and [PERSON_NAME] in place of what was found, and how many."""
+    parts, at, n = [], 0, 0
+    for a, b, kind in detect(text, lexicon):
         if a >= at:
             parts += [text[at:a], f"[{kind.upper()}]"]
             at = b
-    return "".join([*parts, text[at:]])
+            n += 1
+    return "".join([*parts, text[at:]]), n
 
 
 def kinds(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, kind): one row per text and kind it contains. Null and empty texts contain nothing."""
+    lexicon = texts.sparkSession.sparkContext.broadcast(learned(texts, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, kind) for k, t in zip(b["__key"], b["__text"], strict=True) for kind in sorted({s[2] for s in detect(t)})]
+            rows = [(k, kind) for k, t in zip(b["__key"], b["__text"], strict=True) for kind in sorted({s[2] for s in detect(t, lexicon.value)})]
             yield pd.DataFrame(rows, columns=[key, "kind"])
 
     return texts.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInPandas(run, f"{key} long, kind string")
@@ -300,10 +421,11 @@ def kinds(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def redacted(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, text, found): the texts with placeholders, and how many. A null text stays null, other columns are dropped."""
+    lexicon = texts.sparkSession.sparkContext.broadcast(learned(texts, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, None, 0) if t is None else (k, redact(t), len(detect(t))) for k, t in zip(b["__key"], b["__text"], strict=True)]
+            rows = [(k, None, 0) if t is None else (k, *redact(t, lexicon.value)) for k, t in zip(b["__key"], b["__text"], strict=True)]
             yield pd.DataFrame(rows, columns=[key, text, "found"])
 
     return texts.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInPandas(run, f"{key} long, {text} string, found int")

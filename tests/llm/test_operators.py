@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from lorebase.llm.components import connected_components, contract
 from lorebase.llm.conversations import judged, rebuilt
 from lorebase.llm.leaks import Automaton, cleaned, leaks, words
 from lorebase.llm.names import candidates, covers, resolved, same_name, shortened, slip, token_weights, tokens
-from lorebase.llm.personal import detect, kinds, redact, redacted
+from lorebase.llm.personal import detect, kinds, learned, redact, redacted
 from lorebase.llm.quality import COMMON, NAMES, body, junk, learned_words, passages, profiles, prose_shares, sketches, statistics, tails
 from lorebase.llm.vectors import close_pairs, nearest
 
@@ -234,14 +235,52 @@ def test_personal(text, want):
     assert {k for _, _, k in detect(text)} == want
 
 
+def hidden(text):
+    return redact(text)[0]
+
+
 def test_personal_offsets():
-    assert redact("Write to Jоhn Ruvelozal (xanthe+notes @ inbox.invalid), 3 rows; it’s fine") == "Write to [PERSON_NAME] ([EMAIL]), 3 rows; it’s fine"
+    assert hidden("Write to Jоhn Ruvelozal (xanthe+notes @ inbox.invalid), 3 rows; it’s fine") == "Write to [PERSON_NAME] ([EMAIL]), 3 rows; it’s fine"
     text = "ｊｏ＠example.org – call zero four nine one five seven zero zero zero six, then rest"
     spans = detect(text)
     assert [text[a:b] for a, b, _ in spans] == ["ｊｏ＠example.org", "zero four nine one five seven zero zero zero six"]
-    assert redact("nothing here") == "nothing here"
+    assert hidden("nothing here") == "nothing here"
     long = "word " * 40_000 + "jo@example.org"
-    assert redact(long).endswith("[EMAIL]") and len(redact(long)) == 200_007
+    assert hidden(long).endswith("[EMAIL]") and len(hidden(long)) == 200_007
+
+
+# names of many languages, none of them in a list of the library; what must stay; what only counting over the texts can tell
+NAMES_ANYWHERE = ["Ngozi Okonkwo", "Rajesh Kumar", "Yuki Tanaka", "Oluwaseun Adeyemi", "Mehmet Yildirim", "Thandiwe Dlamini", "Anneliese Brunhuber", "Wojciech Kowalczyk", "Nguyet Tran", "Leilani Kealoha", "Tuomas Virtanen", "Csilla Horvath", "Eirik Solberg", "Amina Diallo", "Ravshan Karimov", "Sinead Gallagher"]
+FRAMES = ["My colleague {} called about the flat.", "I met {} at the station.", "When {} wrote, we had left.", "{} lives here now.", "The letter to {} came back."]
+NO_NAMES = ["We flew to New York on Monday Morning.", "Am Ende zählt das.", "The Golden Gate Bridge was closed.", "Meine Adresse steht oben.", "Read Drive Shaft Repair first.", "Ticket MEM is open.", "Since March the Zelda Mono font is gone.", "Letzte Woche war es kalt."]
+
+
+def test_names_in_no_list():
+    for name in NAMES_ANYWHERE:
+        for frame in FRAMES:
+            assert hidden(frame.format(name)) == frame.format("[PERSON_NAME]"), (name, frame)
+    assert [t for t in NO_NAMES if detect(t)] == []
+
+
+def test_names_learned_from_the_texts(spark):
+    families = ["Dragisic", "Molnar", "Petrenko", "Haugen", "Sandoval"]
+    data = [f"I saw Zorica {f} there, and the violet harbour too." for f in families] + ["Violet Harbour shone.", "the violet harbour again", "a violet harbour it was"] + ["we walked on"] * 3
+    data += ["Juniper Copse is far."] * 6 + ["then zorica dragisic came", "zorica walked home", "Petrenko, Zorica came", "Juniper Copse again, and Violet Harbour"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(data)], "k long, text string, a string")
+    found = learned(df)
+    assert "zorica" in found.given and "violet" in found.ordinary and "juniper" in found.fixed and "there" in found.ordinary
+    got = {r.k for r in kinds(df, "k").collect()}
+    assert got == {i for i, t in enumerate(data) if re.search(r"zorica (?!walked)|, Zorica", t, re.I)}
+    assert learned(df.limit(0)).given == frozenset()
+
+
+@pytest.mark.parametrize("text, want", [("IBAN DE89 3704 0044 0532 0130 00 please", 1), ("IBAN DE88 3704 0044 0532 0130 00 please", 0), ("card 4111 1111 1111 1111 ok", 1), ("card 4111 1111 1111 1112 ok", 0), ("My passport C01X00T47 is lost", 1), ("Reisepassnummer: C01234567", 1)])
+def test_personal_check_digits(text, want):
+    assert sum(k == "id_number" for _, _, k in detect(text)) == want
+
+
+def test_personal_german_signs():
+    assert hidden("schreib anna at post Punkt de") == "schreib [EMAIL]"
 
 
 def test_personal_rows(spark, rows):
