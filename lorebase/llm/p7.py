@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from lorebase.llm.vectors import close_pairs, nearest
 from lorebase.sources.tables import table
 
-SIZE = 64
-
 
 def _chunks(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunks").select("id", "embedding")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return close_pairs(_chunks(spark, root), "id", "embedding", SIZE, 0.9, 10).select("id_a", "id_b")
+    return close_pairs(_chunks(spark, root), "id", "embedding", None, 0.9, 10).select("id_a", "id_b")
 
 
 def p7_nearest(spark: SparkSession, root: str) -> DataFrame:
     """Ten nearest chunks of every chunk whose id is divisible by 100, against all chunks."""
-    return nearest(_chunks(spark, root), F.col("id") % 100 == 0, "id", "embedding", SIZE, 10)
+    return nearest(_chunks(spark, root), F.col("id") % 100 == 0, "id", "embedding", None, 10)
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_nearest)}

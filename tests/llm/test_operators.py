@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from lorebase.llm.leaks import Automaton, cleaned, leaks, words
 from lorebase.llm.names import candidates, covers, resolved, same_name, shortened, slip, token_weights, tokens
 from lorebase.llm.personal import detect, kinds, learned, redact, redacted
 from lorebase.llm.quality import COMMON, NAMES, body, junk, learned_words, passages, profiles, prose_shares, sketches, statistics, tails
-from lorebase.llm.vectors import close_pairs, nearest
+from lorebase.llm.vectors import _pairs_in_leaf, close_pairs, crowded, fit, nearest, visits_for_pairs
 
 
 def components(pairs):
@@ -311,8 +312,10 @@ def test_close_pairs(spark):
     for i in range(len(x)):
         order = sorted(np.flatnonzero(near[i] >= 0.9), key=lambda j: (-near[i, j], j))[:10]
         want |= {(min(i, j), max(i, j)) for j in order}
-    got = {(r.id_a, r.id_b) for r in close_pairs(df, "id", "e", 16, 0.9, 10).collect()}
-    assert got == want
+    # one level; two levels, as the sample allows 32 leaves a tree only
+    for shape in ({}, {"fit_rows": 256, "leaf_rows": 8}):
+        got = {(r.id_a, r.id_b) for r in close_pairs(df, "id", "e", None, 0.9, 10, **shape).collect()}
+        assert len(want - got) <= (2 if shape else 0) and not got - want, shape
     assert close_pairs(df.limit(0), "id", "e", 16, 0.9, 10).count() == 0
     assert close_pairs(df.filter("id >= 1500"), "id", "e", 16, 0.9, 10).count() == 0
 
@@ -320,17 +323,46 @@ def test_close_pairs(spark):
 def test_nearest_recall(spark):
     df, x = vectors(spark)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = total = 0
-    got = nearest(df, F.col("id") % 100 == 0, "id", "e", 16, 10).collect()
-    for i in range(0, len(x), 100):
-        near = x @ x[i]
-        near[i] = -2
-        floor = np.sort(near)[-10]
-        own = [r for r in got if r.id == i]
-        assert sorted(r.place for r in own) == list(range(1, 11))
-        hits += sum(near[r.neighbour] >= floor - 1e-9 for r in own)
-        total += 10
-    assert hits / total >= 0.9
+    for shape in ({}, {"fit_rows": 256, "leaf_rows": 8}):
+        hits = total = 0
+        got = nearest(df, F.col("id") % 100 == 0, "id", "e", None, 10, **shape).collect()
+        for i in range(0, len(x), 100):
+            near = x @ x[i]
+            near[i] = -2
+            floor = np.sort(near)[-10]
+            own = [r for r in got if r.id == i]
+            assert sorted(r.place for r in own) == list(range(1, 11))
+            hits += sum(near[r.neighbour] >= floor - 1e-9 for r in own)
+            total += 10
+        assert hits / total >= 0.9, (shape, hits / total)
+
+
+def test_best_few_of_a_dense_leaf():
+    """A family of near-copies gives each vector its best few, not all of its pairs; none of the best is lost."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    rows = [(i, v.tobytes(), home) for home in (True, False) for i, v in enumerate(x)]
+    group = pd.DataFrame(rows, columns=["rep", "half", "home"])
+    got = _pairs_in_leaf(16, 0.9, 12)(group)
+    wide = x.astype(np.float32)
+    near = wide @ wide.T
+    np.fill_diagonal(near, -2)
+    want = {(min(i, j), max(i, j)) for i in range(400) for j in np.argsort(-near[i], kind="stable")[:10]}
+    pairs = set(zip(got["a"], got["b"], strict=True))
+    assert len(got) <= 400 * 12 and len(want - pairs) <= 2
+
+
+def test_tree_of_any_size():
+    """Leaves follow the rows up to the sample's bound, visits widen until the recall is met, crowds are split."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2_000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = fit(x, 10**9, 200)
+    assert 100 <= len(tree.parts) <= 250 and tree.parts.sum() > 10**9 // 8_192
+    tree.visits = visits_for_pairs(tree, x, 0.5, 0.999)
+    assert tree.visits > 32  # far partners need more than the first try
+    assert crowded(tree, x, 10**9).groups.sum() > 10**9 // 131_072
 
 
 def test_fullest_containers():
