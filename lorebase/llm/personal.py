@@ -302,7 +302,7 @@ TEXT_SHARE = 1 / 100_000
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with each word (as written with a small letter, at all) and with each pair of capitalised words, summed within a batch."""
+    """Texts in all (without a word), with each word (as written with a small letter, at all) and with each pair of capitalised words, summed within a batch."""
     for batch in batches:
         small, every, pairs = Counter(), Counter(), Counter()
         for text in batch["__text"]:
@@ -310,7 +310,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every.update({w.lower() for w in found})
             small.update({w for w in found if w[0].islower()})
             pairs.update({(a.lower(), b.lower()) for a, b in CAPITALS.findall(text) if not b.isupper()})
-        rows = [(w, None, small[w], n) for w, n in every.items()] + [(a, b, 0, n) for (a, b), n in pairs.items()]
+        rows = [(None, None, 0, len(batch))] + [(w, None, small[w], n) for w, n in every.items()] + [(a, b, 0, n) for (a, b), n in pairs.items()]
         yield pd.DataFrame(rows, columns=["a", "b", "small", "n"])
 
 
@@ -319,9 +319,9 @@ def learned(texts: DataFrame, text: str = "text") -> Lexicon:
     in at least TEXT_SHARE of the texts, so their number is bounded by the words of a text, whatever the rows."""
     rows = texts.filter(F.col(text).isNotNull()).select(F.col(text).alias("__text"))
     counts = cut(rows.mapInPandas(_counted, "a string, b string, small long, n long").groupBy("a", "b").agg(F.sum("small").alias("small"), F.sum("n").alias("n")))
-    total = rows.count()
+    total = counts.filter("a IS NULL").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_TEXTS, math.ceil(total * TEXT_SHARE))
-    ordinary = counts.filter(F.col("b").isNull() & (F.col("small") >= least) & (3 * F.col("small") >= 2 * F.col("n"))).select(F.col("a").alias("word"))
+    ordinary = counts.filter(F.col("a").isNotNull() & F.col("b").isNull() & (F.col("small") >= least) & (3 * F.col("small") >= 2 * F.col("n"))).select(F.col("a").alias("word"))
     usual = F.broadcast(ordinary)
     pairs = counts.filter(F.col("b").isNotNull() & ~F.col("a").isin(sorted(OPENERS))).join(usual.withColumnRenamed("word", "a"), "a", "left_anti")
     no_family = sorted(STYLE | _STREETISH | KINDS_OF_PLACE | OPENERS)
