@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lorebase.session import cut
 
 BUCKET_ROWS = 100_000
+STRETCH = 1 << 16
 
 
 def usable(col: str, dtype: str) -> Column:
@@ -28,12 +29,19 @@ def usable(col: str, dtype: str) -> Column:
 
 
 def value_ranks(values: DataFrame, group: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Ranks of the distinct (group, score, value) of values: ties (rows with it) and better (rows above it)."""
+    """Ranks of the distinct (group, score, value) of values: ties (rows with it) and better (rows above it).
+
+    A group of more than bucket_rows distinct values is cut into as many buckets of about half of that as the largest
+    group needs; the result is the same for any bucket_rows, which only bounds what one task orders.
+    """
     keys = [*group, "score"]
     counts = cut(values.filter("value IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("ties")))
     # cuts only for groups with too many values; the list of quantiles has a fixed length
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
-    hot = None if sizes.isEmpty() else _nullsafe_join(counts, sizes.drop("n"), keys, "inner").groupBy(*keys).agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
+    largest = sizes.agg(F.max("n")).first()[0]
+    buckets = 2 * -(-(largest or 0) // bucket_rows)
+    cuts = F.percentile_approx("value", [i / max(1, buckets) for i in range(1, buckets)], max(10_000, 4 * buckets)).alias("cuts")
+    hot = None if largest is None else _nullsafe_join(counts, sizes.drop("n"), keys, "inner").groupBy(*keys).agg(cuts)
     if hot is None:
         order = Window.partitionBy(*keys).orderBy(F.col("value").desc())
         return counts.withColumn("better", F.sum("ties").over(order) - F.col("ties"))
@@ -77,8 +85,23 @@ def _nullsafe_join(left: DataFrame, right: DataFrame, group: Sequence[str], how:
     return left.join(right, on, how).drop(*(f"__r_{g}" for g in group), *([f"__r_{value}"] if value else []))
 
 
-def ranking(points: DataFrame, group: Sequence[str], item: str, k: int | None = None) -> DataFrame:
-    """place in each group by points, ties broken by item; with k only the first k, found without ordering the rest."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("points").desc(), F.col(item).asc()))
-    ranked = points.withColumn("place", place)
-    return ranked if k is None else ranked.filter(F.col("place") <= k)
+def ranking(points: DataFrame, group: Sequence[str], item: str, k: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """place in each group by points, ties broken by item; with k only the first k, found without ordering the rest.
+
+    The whole ranking adds up counts: the rows of better points, found as ranks of a score are, and the place among equal
+    points, numbered inside stretches of item. So a group that holds a third of all rows is ordered by many tasks. Items
+    that are no whole numbers are numbered within equal points in one piece.
+    """
+    if k is not None:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("points").desc(), F.col(item).asc()))
+        return points.withColumn("place", place).filter(F.col("place") <= k)
+    points = cut(points)
+    ranks = value_ranks(points.select(*group, F.lit("points").alias("score"), F.col("points").alias("value")), group, bucket_rows)
+    whole = dict(points.dtypes)[item] in ("tinyint", "smallint", "int", "bigint")
+    placed = points.withColumn("__cut", F.floor(F.col(item) / STRETCH) if whole else F.lit(0).cast("long"))
+    keys = [*group, "points", "__cut"]
+    before = Window.partitionBy(*group, "points").orderBy("__cut")
+    base = placed.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__base", F.sum("__n").over(before) - F.col("__n")).drop("__n")
+    placed = placed.withColumn("__in", F.row_number().over(Window.partitionBy(*keys).orderBy(item)))
+    joined = _nullsafe_join(_nullsafe_join(placed, base, keys, "inner"), ranks.select(*group, F.col("value").alias("points"), "better"), group, "inner", "points")
+    return joined.withColumn("place", F.col("better") + F.col("__base") + F.col("__in")).drop("__cut", "__in", "__base", "better")

@@ -20,7 +20,8 @@ from lorebase.llm.components import connected_components
 from lorebase.operators.dedupe import first_copies
 from lorebase.session import cut
 
-TASK_ROWS = 4_000_000
+TASK_ROWS = 4_000_000  # components of as many records are folded by joins; the result is the same for any number
+PART_ROWS = 2_000_000  # records a task holds beside its largest component
 
 
 def speaking(rows: DataFrame) -> DataFrame:
@@ -102,15 +103,21 @@ def _fold_by_joins(rows: DataFrame) -> DataFrame:
     return state.drop("up")
 
 
+def _parted(rows: DataFrame) -> DataFrame:
+    """Whole components to a task, in as many tasks as keep them to about PART_ROWS records."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    return rows.repartition(parts, "component")
+
+
 def folded(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """rec_id, session_id, component, asks, answered (an answer lies below) and depth, for rows of threads()."""
     narrow = rows.select("rec_id", "session_id", "component", "parent_rec", "asks", "answers")
     # sizes come from the linked components alone; records without links are components of one
     large = rows.filter("component <> rec_id").groupBy("component").count().filter(F.col("count") >= task_rows).select("component")
     if large.isEmpty():
-        return narrow.repartition("component").mapInArrow(_fold_partition, FOLDED)
+        return _parted(narrow).mapInArrow(_fold_partition, FOLDED)
     small = narrow.join(large, "component", "left_anti").select(narrow.columns)
-    inside = small.repartition("component").mapInArrow(_fold_partition, FOLDED)
+    inside = _parted(small).mapInArrow(_fold_partition, FOLDED)
     return inside.unionByName(_fold_by_joins(narrow.join(large, "component", "left_semi")))
 
 

@@ -135,7 +135,7 @@ def packed(items: DataFrame, key: str, capacity: int = CAPACITY, group_rows: int
         left = rest.count()
         if not left:
             break
-        if left > total / 2:  # most containers cannot be filled better, as when all items are longer than half
+        if left > 0.95 * total:  # hardly a container was filled better, as when all items are longer than half
             done.append(now.filter(loose))
             break
         total, turn = left, turn + 1

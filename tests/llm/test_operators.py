@@ -143,6 +143,22 @@ def test_borda(spark, bucket_rows):
     assert borda(df.limit(0), ["q"], "item", {"a": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [100_000, 3])
+def test_whole_ranking(spark, bucket_rows):
+    """A hot group, and a third of its rows with the same points: places as one ordering gives them."""
+    rng = random.Random(11)
+    data = [(q, rng.randrange(10**6) if i % 7 else i, float(rng.choice([5, 5, rng.randrange(40)]))) for q, n in ((1, 400), (None, 9)) for i in range(n)]
+    data = list({d[:2]: d for d in data}.values())
+    df = spark.createDataFrame(data, "q long, item long, points double")
+    want = {}
+    for q in (1, None):
+        for place, d in enumerate(sorted((d for d in data if d[0] == q), key=lambda d: (-d[2], d[1])), 1):
+            want[q, d[1]] = place
+    assert {(r.q, r["item"]): r.place for r in ranking(df, ["q"], "item", bucket_rows=bucket_rows).collect()} == want
+    names = ranking(df.withColumn("item", F.format_string("%09d", "item")), ["q"], "item", bucket_rows=bucket_rows).collect()
+    assert {(r.q, int(r["item"])): r.place for r in names} == want
+
+
 def test_name_tokens():
     assert tokens("Dr. O'Néil, Anna B.", True) == ["oneil", "anna", "b"]
     assert tokens("The RadrikuzanSoftware & Co. GmbH", False) == ["radrikuzan", "software"]
