@@ -57,8 +57,11 @@ def broken_relations(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame, keys: Sequence[str], id_col: str, order: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with the count and the ids in order."""
-    seen = rows.groupBy(*keys).agg(F.count("*").alias("cnt"), F.array_sort(F.collect_list(F.struct(*order, F.col(id_col).alias("__id")))).alias("all"))
-    return seen.filter("cnt > 1").select(*keys, "cnt", F.transform("all", lambda s: s["__id"]).alias("ids"))
+    # the lists hold repeated rows only: keys are counted before anything is collected
+    often = rows.groupBy(*keys).agg(F.count("*").alias("cnt")).filter("cnt > 1").select(*(F.col(k).alias(f"__r_{k}") for k in keys), "cnt")
+    met = rows.join(often, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    seen = met.groupBy(*keys, "cnt").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(id_col).alias("__id")))).alias("all"))
+    return seen.select(*keys, "cnt", F.transform("all", lambda s: s["__id"]).alias("ids"))
 
 
 def stale(entities: DataFrame, as_of: str, days: int = 90, least: int = 3, spared: Sequence[int] = (1, 2)) -> DataFrame:

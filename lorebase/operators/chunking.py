@@ -201,10 +201,11 @@ def topic_pairs(chunks: DataFrame, group: str, order: str, vector: str = "embedd
     return near.withColumn("is_boundary", F.col("similarity") < threshold).drop(f"prev_{vector}", "__place")
 
 
-# contractions and pronouns of the one who speaks (S) and the one spoken to (P), lower case
+# contractions and pronouns, lower case, and what stands for them (fixed values)
 PRONOUNS = {
-    "i'm": "S is", "i've": "S has", "i'll": "S will", "i'd": "S would", "you're": "P is", "you've": "P has", "you'll": "P will", "you'd": "P would",
-    "mine": "S's", "yours": "P's", "my": "S's", "your": "P's", "myself": "S", "yourself": "P", "me": "S", "i": "S", "you": "P",
+    "i'm": "{speaker} is", "i've": "{speaker} has", "i'll": "{speaker} will", "i'd": "{speaker} would",
+    "you're": "{partner} is", "you've": "{partner} has", "you'll": "{partner} will", "you'd": "{partner} would",
+    "mine": "{speaker}'s", "yours": "{partner}'s", "my": "{speaker}'s", "your": "{partner}'s", "myself": "{speaker}", "yourself": "{partner}", "me": "{speaker}", "i": "{speaker}", "you": "{partner}",
 }
 _PRONOUN = re.compile(r"\b(?:" + "|".join(sorted(PRONOUNS, key=len, reverse=True)) + r")\b", re.I)
 _CODE = re.compile(r"```[\s\S]*?```|`[^`]+`")
@@ -230,7 +231,7 @@ def resolve_pronouns(text: str, human: str, assistant: str) -> str:
         said = paragraph[len(prefix) :]
         if who is not None:
             me, you = who
-            said = _PRONOUN.sub(lambda m, me=me, you=you: PRONOUNS[m.group().lower()].replace("S", me, 1) if PRONOUNS[m.group().lower()][0] == "S" else PRONOUNS[m.group().lower()].replace("P", you, 1), said)
+            said = _PRONOUN.sub(lambda m, me=me, you=you: PRONOUNS[m.group().lower()].format(speaker=me, partner=you), said)
         out.append(prefix + said)
     return re.sub(r"\0(\d+)\0", lambda m: code[int(m.group(1))], "\n\n".join(out))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,7 +99,7 @@ def route_relations(relations: DataFrame, applied: DataFrame) -> DataFrame:
     return out.withColumn("action", action)
 
 
-def type_votes(entities: DataFrame, edges: DataFrame) -> DataFrame:
+def type_votes(entities: DataFrame, edges: DataFrame, name_hints: Mapping[str, str] = V.NAME_HINTS) -> DataFrame:
     """(entity_id, current_type, suggested_type, confidence): weighted votes of relations (1) and name parts (2).
 
     suggested_type is NULL where the current type wins or nothing votes (confidence 1); ties go to the first type by name.
@@ -108,7 +108,7 @@ def type_votes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     live = edges.filter(F.col("superseded_at").isNull())
     votes = live.select(F.col("source_id").alias("id"), hints("source", V.SOURCE_HINTS).alias("type"), F.lit(1).alias("w"))
     votes = votes.unionByName(live.select(F.col("target_id").alias("id"), hints("target", V.TARGET_HINTS).alias("type"), F.lit(1).alias("w")))
-    named = F.array_compact(F.array(*(F.when(F.lower("name").contains(part), F.lit(kind)) for part, kind in V.NAME_HINTS.items())))
+    named = F.array_compact(F.array(*(F.when(F.lower("name").contains(part), F.lit(kind)) for part, kind in name_hints.items())))
     votes = votes.unionByName(entities.select("id", F.explode(named).alias("type"), F.lit(2).alias("w")))
     summed = votes.filter("type IS NOT NULL").groupBy("id", "type").agg(F.sum("w").alias("w"))
     top = summed.groupBy("id").agg(F.min_by("type", F.struct(-F.col("w"), "type")).alias("top"), F.max("w").alias("most"), F.sum("w").alias("total"))
@@ -204,6 +204,14 @@ def put(kv: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def next_ids(new: DataFrame, existing: DataFrame, order: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Ids for new rows: after the largest stored one, in the given order (a single writer, a batch at a time)."""
+    """Ids for new rows: after the largest stored one, in the given order (a single writer, a batch at a time).
+
+    The rows are sorted over all tasks and written; an id is the size of the tasks before plus the place in the own one.
+    """
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return new.withColumn("__n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(top), F.lit(True)).withColumn(id_col, F.col("__top") + F.col("__n")).drop("__n", "__top")
+    placed = cut(new.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a task
+    base = sizes.withColumn("__base", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    out = placed.join(F.broadcast(base), "__part").join(F.broadcast(top), F.lit(True))
+    return out.withColumn(id_col, F.col("__top") + F.col("__base") + F.col("__row") + 1).drop("__at", "__part", "__row", "__base", "__top")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.operators.ordinals import previous
+from lorebase.session import cut
 
 BATCH = 100
 Provider = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
@@ -33,28 +35,46 @@ def hashing_provider(size: int = 64) -> Provider:
     return embed
 
 
-def embedded(df: DataFrame, key: str, text: str, provider: Provider, batch: int = BATCH, attempts: int = 3) -> DataFrame:
-    """(key, embedding): vectors of the texts in calls of at most batch texts, in order.
+def embedded(df: DataFrame, key: str, text: str, provider: Provider, batch: int = BATCH, attempts: int = 3, delay: float = 1.0, passing: tuple[type[Exception], ...] = (OSError, TimeoutError)) -> DataFrame:
+    """(key, embedding, error): vectors of the texts in calls of at most batch texts, in order.
 
-    A call that fails is repeated up to attempts times; then its texts have NULL, as have null texts, and the job goes on.
+    A call that fails in one of the passing ways is repeated up to attempts times, after delay seconds and twice as long
+    each time; any other failure is final. The texts of a failed call have no vector but the failure's text as error, and
+    the job goes on. Null and empty texts have neither.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list = [None] * len(b)
+            errors: list = [None] * len(b)
             at = [i for i, t in enumerate(b["__text"]) if t]
             for start in range(0, len(at), batch):
                 part = at[start : start + batch]
-                for _ in range(attempts):
+                for attempt in range(1, attempts + 1):
                     try:
                         for i, v in zip(part, provider([b["__text"].iloc[i] for i in part]), strict=True):
-                            out[i] = v
+                            out[i], errors[i] = v, None
                         break
-                    except Exception:
-                        continue
-            yield pd.DataFrame({key: b["__key"], "embedding": out})
-
-    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInPandas(run, f"{key} long, embedding array<float>")
+                    except Exception as failure:
+                        for i in part:
+                            out[i], errors[i] = None, f"{type(failure).__name__}: {failure}"
+                        if attempt == attempts or not isinstance(failure, passing):
+                            break
+                        time.sleep(delay * 2 ** (attempt - 1))
+            yield pd.DataFrame({key: b["__key"], "embedding": out, "error": errors})
+
+    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInPandas(run, f"{key} long, embedding array<float>, error string")
+
+
+def reembedded(chunks: DataFrame, provider: Provider, text: str = "raw_content", **how) -> tuple[DataFrame, DataFrame]:
+    """chunks with the provider's vectors in place of theirs, and (conversation_id, texts, vectors, outcome): a
+    conversation is embedded if any of its texts got a vector, failed if it has texts and none did, else empty."""
+    made = cut(embedded(chunks, "id", text, provider, **how))
+    out = chunks.drop("embedding").join(made.select("id", "embedding"), "id", "left")
+    has = F.coalesce(F.length(text) > 0, F.lit(False))
+    counts = out.groupBy("conversation_id").agg(F.count_if(has).alias("texts"), F.count("embedding").alias("vectors"))
+    outcome = F.when(F.col("vectors") > 0, "embedded").when(F.col("texts") > 0, "failed").otherwise("empty")
+    return out, counts.withColumn("outcome", outcome)
 
 
 def with_neighbours(df: DataFrame, group: str, order: str, columns: Sequence[str]) -> DataFrame:

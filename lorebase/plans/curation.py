@@ -33,7 +33,7 @@ def turn_groups(spark: SparkSession, root: str) -> DataFrame:
 
 def gap_boundaries(spark: SparkSession, root: str) -> DataFrame:
     """Events of a user more than six hours apart begin a new segment."""
-    rows = dense_ordinals(table(spark, root, "events").filter("ts IS NOT NULL").withColumn("__o", F.unix_millis(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id") % 1_000_000), ["user_id"], "__o", "ordinal", 10**18)
+    rows = dense_ordinals(table(spark, root, "events").filter("ts IS NOT NULL").withColumn("__o", F.unix_millis(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id") % 1_000_000), ["user_id"], "__o", "ordinal", 30 * 86_400_000 * 1_000_000)
     return K.gap_segments(rows, "user_id", "ordinal", "ts", 360).select("user_id", "event_id", "segment")
 
 
@@ -63,7 +63,7 @@ def chunk_conversation(spark: SparkSession, root: str) -> DataFrame:
 
 
 def chunk_text(spark: SparkSession, root: str) -> DataFrame:
-    """Text of each turn as a chunk shows it."""
+    """Text of each turn as a chunk shows it: one row a turn is what is asked, so a turn's text is as long as the turn."""
     rows = K.turn_groups(_messages(spark, root)).withColumn("line", K.spoken(F.col("role"), F.col("content")))
     out = rows.groupBy("session_id", "turn_group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n\n").alias("t"))
     return out.select("session_id", "turn_group", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("md5"))

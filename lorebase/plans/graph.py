@@ -31,9 +31,9 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
     never = F.lit(None).cast("timestamp_ntz")
     within = table(spark, root, "nation").select((F.col("n_nationkey").cast("long") + NATION_EDGE).alias("edge_id"), (F.col("n_nationkey").cast("long") + NATION).alias("source_id"), (F.col("n_regionkey").cast("long") + REGION).alias("target_id"), F.lit("part_of").alias("relation_type"), never.alias("valid_from"), never.alias("superseded_at"))
     lives = table(spark, root, "customer").select((F.col("c_custkey") + CUSTOMER_EDGE).alias("edge_id"), (F.col("c_custkey") + CUSTOMER).alias("source_id"), (F.col("c_nationkey").cast("long") + NATION).alias("target_id"), F.lit("lives_in").alias("relation_type"), never.alias("valid_from"), never.alias("superseded_at"))
-    lines = table(spark, root, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("d"))
-    uses = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select((F.col("o_orderkey") + PART_EDGE).alias("edge_id"), (F.col("o_custkey") + CUSTOMER).alias("source_id"), (F.col("l_partkey") + PART).alias("target_id"), F.lit("uses").alias("relation_type"), F.col("d").alias("valid_from"), F.when(F.col("d") < F.lit("1996-01-01").cast("timestamp_ntz"), F.col("d")).alias("superseded_at"))
+    uses = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select((F.col("o_orderkey") * 8 + F.col("l_linenumber") + PART_EDGE).alias("edge_id"), (F.col("o_custkey") + CUSTOMER).alias("source_id"), (F.col("l_partkey") + PART).alias("target_id"), F.lit("uses").alias("relation_type"), F.col("d").alias("valid_from"), F.when(F.col("d") < F.lit("1996-01-01").cast("timestamp_ntz"), F.col("d")).alias("superseded_at"))
     return within.unionByName(lives).unionByName(uses)
 
 
@@ -136,7 +136,7 @@ EDGES = f"""nodes AS (SELECT r_regionkey::BIGINT AS id, r_name AS name, 'Place'
 UNION ALL SELECT c_custkey + {CUSTOMER}, c_name, 'Person' FROM customer UNION ALL SELECT p_partkey + {PART}, p_name, 'Tool' FROM part),
 every AS (SELECT n_nationkey::BIGINT AS edge_id, n_nationkey + {NATION}::BIGINT AS source_id, n_regionkey::BIGINT AS target_id, 'part_of' AS relation_type, NULL::TIMESTAMP AS superseded_at FROM nation
 UNION ALL SELECT c_custkey + {CUSTOMER_EDGE}, c_custkey + {CUSTOMER}, c_nationkey + {NATION}, 'lives_in', NULL FROM customer
-UNION ALL SELECT o_orderkey + {PART_EDGE}, o_custkey + {CUSTOMER}, l_partkey + {PART}, 'uses', CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN o_orderdate END FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+UNION ALL SELECT o_orderkey * 8 + l_linenumber + {PART_EDGE}, o_custkey + {CUSTOMER}, l_partkey + {PART}, 'uses', CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN o_orderdate END FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 live AS (SELECT * FROM every WHERE superseded_at IS NULL)"""
 
 

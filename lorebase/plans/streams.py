@@ -16,12 +16,15 @@ def _landed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, root: str) -> DataFrame:
-    """Hourly counts by type; windows the watermark has not passed yet stay open and are not landed."""
-    rows = _landed(spark, S.windowed(S.event_stream(spark, root)), "windows")
-    return rows.select(F.col("window.start").alias("started"), "event_type", "n", F.round("total", 2).alias("total"))
+    """Hourly counts by type as the stream last updated them; windows the watermark has not passed yet are there as well."""
+    folder = shared_folder(spark, "windows")
+    S.land_latest(S.windowed(S.event_stream(spark, root)).select(F.col("window.start").alias("started"), "event_type", "n", "total"), f"{folder}/rows", f"{folder}/state")
+    rows = S.latest(spark.read.parquet(f"{folder}/rows"), ["started", "event_type"])
+    return rows.select("started", "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions that ended more than a day before the newest event, which no late row can change any more."""
     rows = _landed(spark, S.sessions(S.event_stream(spark, root)), "sessions")
     return rows.select("user_id", F.col("session_window.start").alias("started"), "n")
 
@@ -41,6 +44,10 @@ def batch_windows(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_deduplicated, batch_windows)}
 
 SQL = {
+    "stream_windows": "SELECT date_trunc('hour', ts) AT TIME ZONE 'UTC' AS started, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), t AS (SELECT user_id, k, min(ts) AS a, max(ts) AS b, count(*) AS n FROM s GROUP BY ALL)
+SELECT user_id, a AT TIME ZONE 'UTC' AS started, n FROM t WHERE b + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "stream_deduplicated": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "batch_windows": "SELECT date_trunc('hour', ts) AT TIME ZONE 'UTC' AS started, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
 }

@@ -18,6 +18,7 @@ def build_session(master: str = "local[8]", app: str = "lorebase", **conf: str)
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     spark = SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -25,11 +26,14 @@ def build_session(master: str = "local[8]", app: str = "lorebase", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests), a local one."""
+    """Use the folder the cluster names in spark.checkpoint.dir. A local one is made only where all tasks run on this
+    machine; on a cluster without the setting the job stops, as its executors share no local folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorebase-checkpoint-"))
 
 

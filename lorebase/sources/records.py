@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.messages import content_text, identifier, not_blank, parsed
@@ -15,10 +15,19 @@ from lorebase.session import cut
 
 
 def session_log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, line_no, line) of every ``*.jsonl`` below folder, except in ``subagents`` folders."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(folder)
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), "value").filter(~F.col("path").rlike("/subagents/"))
-    return rows.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter(not_blank("line"))
+    """(path, line_no, line) of every ``*.jsonl`` below folder, except in ``subagents`` folders; blank lines count.
+
+    Large files are shared among tasks: lines are numbered inside the block a task reads, by their order there, and the
+    sizes of the file's blocks before are added.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")).filter(~F.col("path").rlike("/subagents/"))
+    placed = cut(rows.withColumn("__at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("path", "block").agg(F.count("*").alias("__n"))
+    base = sizes.withColumn("__base", F.sum("__n").over(Window.partitionBy("path").orderBy("block")) - F.col("__n")).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("__at")) - 1
+    numbered = placed.withColumn("__in", inside).join(base, ["path", "block"])
+    return numbered.select("path", (F.col("__base") + F.col("__in")).cast("int").alias("line_no"), "line").filter(not_blank("line"))
 
 
 def parsed_log(lines: DataFrame) -> DataFrame:

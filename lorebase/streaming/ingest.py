@@ -61,6 +61,23 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(fold, out, kept, "update", "NoTimeout")
 
 
+def land_latest(stream: DataFrame, out: str, state: str) -> None:
+    """Run a stream of updates over everything there is now; out gets every batch's rows with its number (batch)."""
+
+    def append(rows: DataFrame, number: int) -> None:
+        # a batch that is repeated after a failure replaces its own rows
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    land_batches(stream, append, state, "update")
+
+
+def latest(landed: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key of what land_latest wrote, open windows included."""
+    rest = [c for c in landed.columns if c not in (*keys, "batch")]
+    newest = landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row"))
+    return newest.select(*keys, "__row.*")
+
+
 def land(stream: DataFrame, out: str, state: str, mode: str = "append") -> None:
     """Run the stream over everything there is now, append its rows to out, and stop."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

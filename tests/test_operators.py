@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,16 +287,28 @@ def test_streaming_state(spark, tmp_path):
 
 
 def test_embedding(spark, rows):
-    from lorebase.operators.embedding import embedded, hashing_provider, with_neighbours
+    from lorebase.operators.embedding import embedded, hashing_provider, reembedded, with_neighbours
 
     df = spark.createDataFrame([(i, None if i == 3 else "" if i == 4 else f"word {i}") for i in range(250)], "k long, t string")
-    got = dict(embedded(df, "k", "t", hashing_provider(8)).collect())
+    got = {r.k: r.embedding for r in embedded(df, "k", "t", hashing_provider(8)).collect()}
     assert len(got) == 250 and got[3] is None and got[4] is None and len(got[5]) == 8
 
     def failing(texts):
         raise OSError("no service")
 
-    assert set(dict(embedded(df.limit(5), "k", "t", failing).collect()).values()) == {None}
+    broken = embedded(df.filter("k < 5"), "k", "t", failing, delay=0.01).collect()
+    assert {r.embedding for r in broken} == {None} and {(r.k, r.error) for r in broken} == {(k, "OSError: no service" if k < 3 else None) for k in range(5)}
+
+    def wrong(texts):
+        raise ValueError("bad text")
+
+    began = time.monotonic()
+    assert embedded(df.filter("k < 2"), "k", "t", wrong, delay=60.0).filter("error = 'ValueError: bad text'").count() == 2 and time.monotonic() - began < 50
+    chunks = spark.createDataFrame([(1, 10, "a b", [9.0]), (2, 10, None, None), (3, 11, "", [1.0]), (4, 12, "c", None)], "id long, conversation_id long, raw_content string, embedding array<float>")
+    again, outcome = reembedded(chunks, hashing_provider(8))
+    assert {r.id: r.embedding and len(r.embedding) for r in again.collect()} == {1: 8, 2: None, 3: None, 4: 8}
+    assert rows(outcome, "conversation_id", "outcome") == [(10, "embedded"), (11, "empty"), (12, "embedded")]
+    assert rows(reembedded(chunks, failing, delay=0.01)[1], "conversation_id", "outcome") == [(10, "failed"), (11, "empty"), (12, "failed")]
     assert [len(hashing_provider(8)(["a b"])[0]), hashing_provider(8)([" "])] == [8, [None]]
     near = with_neighbours(df.filter("k < 3").withColumn("g", F.lit("g")), "g", "k", ["t"])
     assert rows(near, "k", "prev_t", "next_t") == [(0, None, "word 1"), (1, "word 0", "word 2"), (2, "word 1", None)]
