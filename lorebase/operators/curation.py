@@ -52,7 +52,7 @@ def fuzzy_candidates(proposals: DataFrame, entities: DataFrame, threshold: float
 
 
 def route_entities(proposals: DataFrame, entities: DataFrame, denied: DataFrame) -> DataFrame:
-    """proposals(proposal_id, name, entity_type, match, confidence) with action, entity_id and reason.
+    """proposals(proposal_id, name, entity_type, match, confidence) with action, entity_id, reason and candidates.
 
     The order of the checks decides: speaker, denied name, exact name, name under another type, alias, similar
     names, new with enough confidence; everything else is for review. All lookups see one snapshot of the entities.
@@ -80,7 +80,8 @@ def route_entities(proposals: DataFrame, entities: DataFrame, denied: DataFrame)
         .when((F.col("match") == "new") & (F.col("confidence") >= V.NEW_THRESHOLD), fields("create_new", none, "new"))
         .otherwise(fields("review", none, "below threshold"))
     )
-    return out.withColumn("v", verdict).select("proposal_id", "name", "entity_type", "v.action", "v.entity_id", "v.reason")
+    asked_of = F.when(F.col("v.action") == "review", F.when(F.col("v.reason") == "similar", F.col("fuzzy")).when(F.col("v.entity_id").isNotNull(), F.array("v.entity_id")))
+    return out.withColumn("v", verdict).select("proposal_id", "name", "entity_type", "v.action", "v.entity_id", "v.reason", asked_of.alias("candidates"))
 
 
 def route_relations(relations: DataFrame, applied: DataFrame) -> DataFrame:

@@ -181,7 +181,39 @@ _PAIRS = """WITH p AS (SELECT id, conversation_id, embedding::DOUBLE[] AS e, lag
 s AS (SELECT id, conversation_id, CASE WHEN list_dot_product(e, e) = 0 OR list_dot_product(q, q) = 0 THEN 0.0 ELSE list_cosine_similarity(e, q) END AS similarity FROM p WHERE q IS NOT NULL)"""
 _GRAMS = r"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({n}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i+2]))))"
 
+_SUMMARY = r"""l AS (SELECT entity_id, chunk_id, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC NULLS LAST, chunk_id DESC) AS r FROM entity_chunks JOIN chunks ON chunks.id = chunk_id QUALIFY r <= 10),
+t AS (SELECT l.entity_id, r, raw_content, e.name, e.summary FROM l JOIN chunks k ON k.id = chunk_id JOIN entities e ON e.id = entity_id),
+u AS (SELECT entity_id, name, r, unnest(string_split(replace(raw_content, chr(10), ' '), '. ')) AS s, generate_subscripts(string_split(replace(raw_content, chr(10), ' '), '. '), 1) AS p FROM t WHERE raw_content IS NOT NULL),
+v AS (SELECT entity_id, name, r, p, rtrim(regexp_replace(trim(s, ' '), '\.+$', ''), ' ') AS s FROM u),
+w AS (SELECT * FROM v WHERE s <> '' AND contains(lower(s), lower(name)) QUALIFY row_number() OVER (PARTITION BY entity_id, lower(s) ORDER BY r, p, s) = 1),
+x AS (SELECT entity_id, string_agg(s, '. ' ORDER BY r, p) || '.' AS made FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY r, p, s) <= 5) GROUP BY 1),
+summed AS (SELECT t.entity_id, coalesce(made, CASE WHEN summary <> '' THEN summary ELSE raw_content[1:200] END) AS made, summary FROM t LEFT JOIN x ON x.entity_id = t.entity_id WHERE r = 1)"""
+
+
+def _broken(table: str, rule: str, count: str) -> str:
+    return f"SELECT '{table}' AS \"table\", '{rule}' AS rule, {count} AS n"
+
+
+def _without(table: str, column: str, other: str) -> str:
+    return _broken(table, f"{column} has no match", f"(SELECT count(*) FROM {table} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {other}))")
+
+
+def _repeated(table: str, *keys: str) -> str:
+    return _broken(table, f"{', '.join(keys)} repeated", f"(SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY {', '.join(keys)} HAVING count(*) > 1))")
+
+
+def _where(table: str, rule: str, where: str) -> str:
+    return _broken(table, rule, f"(SELECT count(*) FROM {table} WHERE {where})")
+
+
 SQL = {
+    "entity_summaries": f"WITH {_SUMMARY} SELECT entity_id, made AS summary FROM summed",
+    "constraint_violations": " UNION ALL ".join([
+        *(_where("chunks", f"{c} is null", f"{c} IS NULL") for c in ("content", "chunk_type", "significance")),
+        _where("chunks", "chunk_type is not allowed", "chunk_type NOT IN ('topic', 'moment', 'decision', 'correction', 'emotional')"), _where("chunks", "significance is not allowed", "significance NOT IN (1, 2, 3, 4, 5)"),
+        _repeated("chunks", "id"), _without("chunks", "conversation_id", "conversations"), _where("entities", "entity_type is not allowed", f"entity_type NOT IN {V.ENTITY_TYPES}"), _repeated("entities", "id"), _repeated("entities", "name", "entity_type"),
+        _repeated("entity_chunks", "entity_id", "chunk_id"), _without("entity_chunks", "entity_id", "entities"), _without("entity_chunks", "chunk_id", "chunks"),
+    ]),
     "turn_groups": f"WITH {MESSAGES} SELECT session_id, ordinal, sum(CASE WHEN role = 'human' AND ordinal > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ordinal)::BIGINT AS turn_group FROM msgs",
     "gap_boundaries": "SELECT user_id, event_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS segment FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOURS THEN 1 ELSE 0 END AS g FROM events WHERE ts IS NOT NULL)",
     "token_estimate": "SELECT doc_id, length(text) // 4 AS tokens FROM documents",

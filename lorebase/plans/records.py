@@ -55,6 +55,16 @@ def p1_nodes(spark: SparkSession, root: str) -> DataFrame:
     return shred(session_rows(spark, root), ["rec_id"], "message").drop("path")
 
 
+def p1_block_fields(spark: SparkSession, root: str) -> DataFrame:
+    """p1_blocks without the node numbers, which SQL has no way to give."""
+    return p1_blocks(spark, root).select(*KEYS, "ordinal", "type", "text", "id", "name", "tool_use_id", "is_error")
+
+
+def p1_result_calls(spark: SparkSession, root: str) -> DataFrame:
+    """p1_results without the node numbers and contents; call_rec is 0 where the call is missing."""
+    return p1_results(spark, root).select(*KEYS, "ordinal", "tool_use_id", "is_error", "content_kind", F.coalesce("call_rec", F.lit(0)).alias("call_rec"))
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     labels = ("type", "id", "tool_use_id")
     blocks = entities(block_nodes(spark, root, BLOCK_PATHS, labels), KEYS, BLOCK_PATHS, labels)
@@ -84,7 +94,7 @@ def p4_increment(spark: SparkSession, root: str) -> DataFrame:
     return new_rows(rows.filter("batch_id % 2 = 1"), stored, ["session_id", "msg_id"], ["rec_id"]).select("rec_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_blocks, p1_results, p1_parts, p1_nodes, p4_found, p4_messages, p4_increment)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_blocks, p1_results, p1_parts, p1_nodes, p1_block_fields, p1_result_calls, p4_found, p4_messages, p4_increment)}
 
 ROWS = """
 rows AS (SELECT *, nullif(lower(trim(sessionId)), '') AS session_id, nullif(lower(trim(uuid)), '') AS msg_id, nullif(lower(trim(parentUuid)), '') AS parent_id
@@ -97,7 +107,15 @@ msgs AS (SELECT *, CASE WHEN json_valid(m) THEN m::JSON END AS j FROM once),
 blocks AS (SELECT rec_id, session_id, unnest(CASE json_type(j, '$.content') WHEN 'ARRAY' THEN CAST(j->'$.content' AS JSON[]) WHEN 'OBJECT' THEN [j->'$.content'] END) AS b FROM msgs)
 """
 
+FIELDS = """listed AS (SELECT rec_id, session_id, CASE json_type(j, '$.content') WHEN 'ARRAY' THEN CAST(j->'$.content' AS JSON[]) WHEN 'OBJECT' THEN [j->'$.content'] END AS a, CASE json_type(j, '$.content') WHEN 'OBJECT' THEN list_position(json_keys(j), 'content') - 1 ELSE 0 END AS base FROM msgs WHERE json_type(j) = 'OBJECT'),
+each AS (SELECT rec_id, session_id, unnest(a) AS b, base + generate_subscripts(a, 1) - 1 AS ordinal FROM listed WHERE a IS NOT NULL),
+fields AS (SELECT rec_id, session_id, ordinal, b, b->>'$.type' AS type, b->>'$.text' AS text, b->>'$.id' AS id, b->>'$.name' AS name, b->>'$.tool_use_id' AS tool_use_id, b->>'$.is_error' AS is_error FROM each WHERE json_type(b) = 'OBJECT')"""
+
 SQL = {
+    "p1_block_fields": f"WITH {ROWS}, {FIELDS} SELECT rec_id, session_id, ordinal, type, text, id, name, tool_use_id, is_error FROM fields",
+    "p1_result_calls": f"""WITH {ROWS}, {FIELDS}, calls AS (SELECT session_id, id AS tool_use_id, rec_id AS call_rec FROM fields WHERE type = 'tool_use' AND id IS NOT NULL)
+SELECT f.rec_id, f.session_id, ordinal, f.tool_use_id, is_error, CASE json_type(b, '$.content') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' ELSE lower(json_type(b, '$.content')) END AS content_kind, coalesce(call_rec, 0) AS call_rec
+FROM fields f LEFT JOIN calls c ON c.session_id = f.session_id AND c.tool_use_id = f.tool_use_id WHERE type = 'tool_result'""",
     "p1_found": f"""WITH {ROWS},
 calls AS (SELECT rec_id, session_id, b->>'$.id' AS tool FROM blocks WHERE b->>'$.type' = 'tool_use'),
 results AS (SELECT rec_id, session_id, b->>'$.tool_use_id' AS tool FROM blocks WHERE b->>'$.type' = 'tool_result')

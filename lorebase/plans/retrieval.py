@@ -87,7 +87,7 @@ def message_search_context(spark: SparkSession, root: str) -> DataFrame:
 def message_search_dated(spark: SparkSession, root: str) -> DataFrame:
     """Search within a range of days (the last one included) and one source."""
     said = _messages(spark, root).filter("spoken_at >= '2026-01-01' AND spoken_at < date_add(DATE'2026-03-31', 1)")
-    talks = table(spark, root, "conversations").filter("source IS NOT NULL").select("session_id", "source")
+    talks = table(spark, root, "conversations").filter("source = 'cc'").select("session_id", "source")
     return said.filter(all_terms(simple_tokens("content"), ["importer"])).join(talks, "session_id").select("session_id", "rec_id", "source")
 
 
@@ -233,7 +233,7 @@ SELECT query_id, id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER
     "access_tracking": f"WITH {_RECALL} SELECT id, coalesce(access_count, 0)::BIGINT + CASE WHEN id IN (SELECT entity_id FROM entity_chunks WHERE chunk_id IN (SELECT id FROM hits)) THEN 1 ELSE 0 END::BIGINT AS access_count FROM entities",
     "message_ordinals": f"WITH {MESSAGES} SELECT session_id, rec_id, ordinal, role, length(content) AS n_chars FROM msgs",
     "message_search_context": f"WITH {MESSAGES}, hit AS (SELECT session_id, ordinal AS hit_ordinal FROM msgs WHERE {_has('importer', 'notes')}) SELECT session_id, hit_ordinal, ordinal, rec_id, role FROM hit JOIN msgs USING (session_id) WHERE ordinal BETWEEN hit_ordinal - 2 AND hit_ordinal + 2",
-    "message_search_dated": f"WITH {MESSAGES} SELECT session_id, rec_id, source FROM msgs JOIN (SELECT session_id, source FROM conversations WHERE source IS NOT NULL) USING (session_id) WHERE spoken_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND spoken_at < TIMESTAMPTZ '2026-04-01 00:00:00+00' AND {_has('importer')}",
+    "message_search_dated": f"WITH {MESSAGES} SELECT session_id, rec_id, source FROM msgs JOIN (SELECT session_id, source FROM conversations WHERE source = 'cc') USING (session_id) WHERE spoken_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND spoken_at < TIMESTAMPTZ '2026-04-01 00:00:00+00' AND {_has('importer')}",
     "chunk_messages_range": f"WITH {MESSAGES} SELECT k.id AS chunk_id, ordinal, rec_id FROM chunks k JOIN conversations c ON c.id = k.conversation_id JOIN msgs USING (session_id) WHERE ordinal BETWEEN start_ordinal AND least(end_ordinal, start_ordinal + 99)",
     "conversation_transcript": f"WITH {MESSAGES} SELECT session_id, ordinal, role, length(content) AS n_chars FROM msgs WHERE session_id = (SELECT session_id FROM conversations WHERE id = 1)",
     "conversation_titles": rf"""WITH {MESSAGES}, f AS (SELECT session_id, trim(replace(arg_min(content, ordinal), chr(10), ' ')) AS t FROM msgs WHERE role = 'human' GROUP BY session_id)
