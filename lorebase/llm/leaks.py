@@ -1,22 +1,30 @@
 """Evaluation passages inside training texts, by a generalised suffix automaton over words.
 
-The automaton of the passages is built once and sent to every task; texts are streamed through it, and at each word the
-length of the longest match that ends there is known. Its size is bounded: passages go in blocks of at most
-``block_words`` words, each block with its own automaton and pass, so any number of passages can be checked.
+Passages go in blocks of about ``block_words`` words; a task builds the automaton of a block and lays it down in arrays
+(about 90 bytes a word, measured in the tests). All blocks are sent to the tasks as they are and the texts are streamed through them in
+one scan: the runs of known words of a batch of texts step together, and at each word the length of the longest match
+that ends there is known. Blocks beyond ``scan_bytes`` of arrays make a further scan, so any number of passages can be
+checked within the memory of a worker.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.session import cut
+
 WORD = re.compile(r"[^\W_]+")
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 250_000
+SCAN_BYTES = 512 << 20
 
 
 def words(text: str) -> list[str]:
@@ -73,55 +81,120 @@ class Automaton:
                 self.found[up].add(item)
                 up = self.link[up]
 
-    def matches(self, sequence: list[str], least: int) -> dict[int, list[tuple[int, int]]]:
-        """item -> spans (start, end) of at least least words shared with it; spans that touch are one."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        get, step, link, length = self.codes.get, self.step, self.link, self.length
-        codes = [get(w, -1) for w in sequence]
-        state = size = 0
-        for end, code in enumerate(codes, 1):
-            if code < 0:
-                state = size = 0
-                continue
-            while state and code not in step[state]:
-                state = link[state]
-                size = length[state]
-            if code in step[state]:
-                state = step[state][code]
-                size += 1
-            if size < least:
-                continue
-            at, here = state, size
-            while True:
-                for item in self.found[at]:
-                    spans = found.setdefault(item, [])
+    def compact(self, least: int = 1) -> Compact:
+        """The automaton in arrays; of items only those of states as long as least are kept."""
+        width = max(1, len(self.codes))
+        pairs = np.array([(state * width + code, to) for state, step in enumerate(self.step) for code, to in step.items()], dtype=np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        own = [sorted(items) if length >= least else [] for items, length in zip(self.found, self.length, strict=True)]
+        start = np.cumsum([0, *map(len, own)])
+        items = np.array([i for o in own for i in o], dtype=np.int64)
+        return Compact(self.codes, pairs[:, 0].copy(), pairs[:, 1].astype(np.int32), np.array(self.link, dtype=np.int32), np.array(self.length, dtype=np.int32), start.astype(np.int32), items)
+
+
+@dataclass
+class Compact:
+    """codes: word to number. keys and targets: transitions, sorted by state * words + code. link, length: of each state.
+    start, items: the items of each state."""
+
+    codes: dict[str, int]
+    keys: np.ndarray
+    targets: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    start: np.ndarray
+    items: np.ndarray
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.targets, self.link, self.length, self.start, self.items)) + sum(len(w) + 90 for w in self.codes)
+
+    def ends(self, texts: list[list[str]], least: int) -> tuple[np.ndarray, ...]:
+        """(text, end, state, size) of each word of the texts at which a match of least words or more ends.
+
+        Only runs of at least least known words can hold one; they start afresh and step together, the longest first.
+        """
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        none = (np.zeros(0, np.int64),) * 4
+        if not sizes.sum() or not len(self.keys):
+            return none
+        get = self.codes.get
+        flat = np.fromiter((get(w, -1) for t in texts for w in t), dtype=np.int64, count=int(sizes.sum()))
+        of = np.repeat(np.arange(len(texts)), sizes)
+        base = np.cumsum(sizes) - sizes
+        known = flat >= 0
+        edge = np.r_[True, (known[1:] != known[:-1]) | (of[1:] != of[:-1])]
+        first = np.flatnonzero(edge)
+        run = np.diff(np.r_[first, len(flat)])
+        keep = known[first] & (run >= least)
+        first, run = first[keep], run[keep]
+        order = np.argsort(-run, kind="stable")
+        first, run = first[order], run[order]
+        state, size, width = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64), max(1, len(self.codes))
+        out = []
+        live = np.searchsorted(-run, -np.arange(int(run.max()) if len(run) else 0), side="left")  # runs longer than t
+        for t, n in enumerate(live):
+            s, z, c = state[:n], size[:n], flat[first[:n] + t]
+            todo = np.arange(n)
+            while len(todo):
+                key = s[todo] * width + c[todo]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                done, todo = todo[hit], todo[~hit]
+                s[done] = self.targets[at[hit]]
+                z[done] += 1
+                root = s[todo] == 0
+                z[todo[root]] = 0
+                todo = todo[~root]
+                s[todo] = self.link[s[todo]]
+                z[todo] = self.length[s[todo]]
+            big = np.flatnonzero(z >= least)
+            if len(big):
+                place = first[big] + t
+                out.append((of[place], place - base[of[place]] + 1, s[big].copy(), z[big].copy()))
+        if not out:
+            return none
+        text, end, at, length = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((end, text))
+        return text[order], end[order], at[order], length[order]
+
+    def matches(self, texts: list[list[str]], least: int) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """text -> item -> spans (start, end) of at least least words shared with it; spans that touch are one."""
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for text, end, at, here in zip(*(x.tolist() for x in self.ends(texts, least)), strict=True):
+            own = found.setdefault(text, {})
+            while here >= least:
+                for item in self.items[self.start[at] : self.start[at + 1]].tolist():
+                    spans = own.setdefault(item, [])
                     if spans and spans[-1][1] >= end - here and spans[-1][0] <= end - here:
                         spans[-1] = (spans[-1][0], end)
                     elif not (spans and spans[-1][1] == end):
                         spans.append((end - here, end))
-                at = link[at]
-                here = length[at]
-                if here < least:
-                    break
+                at = int(self.link[at])
+                here = int(self.length[at])
         return found
 
 
-def automata(items: DataFrame, item: str, passage: str, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata of the passages, each of at most block_words words (a longer passage has one alone)."""
-    held, size = Automaton(), 0
-    rows = items.filter(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("long"), passage).distinct()
-    for key, text in rows.toLocalIterator():
-        sequence = words(text)
-        if size and size + len(sequence) > block_words:
-            yield held
-            held, size = Automaton(), 0
-        held.add(key, sequence)
-        size += len(sequence)
-    if size:
-        yield held
+def automata(items: DataFrame, item: str, passage: str, least: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, automaton, n_words, n_bytes): a pickled automaton of each block, built by a task; equal rows count once.
+    All passages of an item are in one block."""
+    rows = items.filter(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).distinct()
+    total = rows.agg(F.sum(F.regexp_count("passage", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        made, n = Automaton(), 0
+        for key, text in group.sort_values(["item", "passage"])[["item", "passage"]].itertuples(index=False):
+            sequence = words(text)
+            made.add(int(key), sequence)
+            n += len(sequence)
+        laid = made.compact(least)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "automaton": [pickle.dumps(laid)], "n_words": [n], "n_bytes": [laid.nbytes()]})
+
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    return cut(placed.groupBy("block").applyInPandas(build, "block int, automaton binary, n_words long, n_bytes long"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: int = 10, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: int = 10, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", block_words: int = BLOCK_WORDS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc, item, longest, covered, spans): texts that share at least least consecutive words with a passage.
 
     longest is the longest shared run, covered the number of the text's words in such runs, spans the runs as word
@@ -134,17 +207,28 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = 10, doc: str = "doc_id
 
     def scan(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = shared.value
-            for batch in batches:
-                rows = []
-                for key, body in zip(batch["__doc"], batch["__text"], strict=True):
-                    for it, spans in automaton.matches(words(body), least).items():
-                        rows.append((key, it, max(b - a for a, b in spans), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans]))
-                yield pd.DataFrame(rows, columns=[doc, item, "longest", "covered", "spans"])
+            opened: list[Compact] = [pickle.loads(one.value) for one in shared]
+            for whole in batches:
+                for start in range(0, len(whole), 1_024):
+                    batch = whole.iloc[start : start + 1_024]
+                    keys, texts = batch["__doc"].tolist(), [words(t) for t in batch["__text"]]
+                    rows = []
+                    for one in opened:
+                        for at, own in one.matches(texts, least).items():
+                            rows += [(keys[at], it, max(b - a for a, b in spans), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans]) for it, spans in own.items()]
+                    yield pd.DataFrame(rows, columns=[doc, item, "longest", "covered", "spans"])
 
         return read.mapInPandas(run, schema)
 
-    parts = [scan(spark.sparkContext.broadcast(a)) for a in automata(items, item, passage, block_words)]
+    parts, held, size = [], [], 0
+    for row in automata(items, item, passage, least, block_words).select("automaton", "n_bytes").toLocalIterator():
+        if held and size + row.n_bytes > scan_bytes:
+            parts.append(scan(held))
+            held, size = [], 0
+        held.append(spark.sparkContext.broadcast(bytes(row.automaton)))
+        size += row.n_bytes
+    if held:
+        parts.append(scan(held))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 

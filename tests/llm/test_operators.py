@@ -432,17 +432,41 @@ def test_leaks(spark, rows):
     want = {(d, i) for d, text in docs for i in grams(items, text, 4)}
     frame = spark.createDataFrame([*((*d, 0) for d in docs), (99, None, 0), (98, "", 0)], "doc_id long, text string, item_id int")
     eval_ = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, passage string")
-    for block in (500_000, 20):
-        assert {(r.doc_id, r.item_id) for r in leaks(frame, eval_, 4, block_words=block).collect()} == want
+    # one block; many blocks in one scan; a scan for each block
+    for how in ({}, {"block_words": 20}, {"block_words": 20, "scan_bytes": 1}):
+        assert rows(leaks(frame, eval_, 4, **how).select("doc_id", "item_id")) == sorted(want)
     assert leaks(frame, eval_.limit(0)).count() == 0 and leaks(frame.limit(0), eval_).count() == 0
 
 
+def test_automaton_spans_and_size():
+    """Spans against brute force on texts full of overlaps, whatever runs in step; bytes a word of a block."""
+    rng = random.Random(13)
+    vocabulary = "a b c".split()
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(3, 20))] for i in range(8)}
+    texts = [[rng.choice([*vocabulary, "z"]) for _ in range(rng.randrange(0, 80))] for _ in range(50)]
+    made = Automaton()
+    for i, sequence in items.items():
+        made.add(i, sequence)
+    got = made.compact(4).matches(texts, 4)
+    for t, text in enumerate(texts):
+        for i, sequence in items.items():
+            inside = {"\0".join(sequence[k : k + 4]) for k in range(len(sequence) - 3)}
+            hit = {p for k in range(len(text) - 3) if "\0".join(text[k : k + 4]) in inside for p in range(k, k + 4)}
+            assert {p for a, b in got.get(t, {}).get(i, []) for p in range(a, b)} == hit
+    big, n = Automaton(), 0
+    for i in range(300):
+        sequence = [f"w{int(rng.paretovariate(0.7)) % 20_000}" for _ in range(100)]
+        big.add(i, sequence)
+        n += len(sequence)
+    assert big.compact(10).nbytes() / n < 120
+
+
 def test_leaked_spans(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     automaton = Automaton()
     automaton.add(1, words(passage))
     automaton.add(2, words("zero one two three four five six seven eight nine ten"))
-    assert automaton.matches(words("x " + passage + " y"), 10) == {1: [(1, 13)], 2: [(1, 11)]}
+    assert automaton.compact(10).matches([["y"], words("x " + passage + " y"), []], 10) == {1: {1: [(1, 13)], 2: [(1, 11)]}}
     docs = spark.createDataFrame([(1, "Before it all: " + passage.title() + ". After " + "and on " * 20), (2, passage), (3, "clean")], "doc_id long, text string")
     found = leaks(docs, spark.createDataFrame([(1, passage)], "item_id long, passage string"))
     assert {(r.doc_id, r.longest, r.covered) for r in found.collect()} == {(1, 12, 12), (2, 12, 12)}
