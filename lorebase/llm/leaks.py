@@ -209,8 +209,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = 10, doc: str = "doc_id
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             opened: list[Compact] = [pickle.loads(one.value) for one in shared]
             for whole in batches:
-                for start in range(0, len(whole), 1_024):
-                    batch = whole.iloc[start : start + 1_024]
+                for start in range(0, len(whole), 4_096):
+                    batch = whole.iloc[start : start + 4_096]
                     keys, texts = batch["__doc"].tolist(), [words(t) for t in batch["__text"]]
                     rows = []
                     for one in opened:
