@@ -89,21 +89,17 @@ def _merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"session_id": batch["session_id"], "piece": batch["piece"], "head": heads})
 
 
-def merged_pieces(messages: DataFrame) -> DataFrame:
-    """messages with piece (turn cut at time gaps) and head, the first piece of the chunk before splitting."""
-    sized = cut(messages.withColumn("length", F.length(spoken(F.col("role"), F.col("content"))).cast("long")))
-    places = sized.select("session_id", "ordinal", "role", "spoken_at")
+def merged_pieces(places: DataFrame) -> DataFrame:
+    """places with piece (turn cut at time gaps) and head, the first piece of the chunk before splitting.
+
+    places: session_id, ordinal, role, spoken_at, length (of the message as it stands in a chunk), greets. No texts.
+    """
     before = previous(places, ["session_id"], "ordinal", ["spoken_at"])
     gap = F.col("spoken_at").cast("double") - F.col("prev_spoken_at").cast("double") > GAP_MINUTES * 60
     marked = before.withColumn("after_gap", F.coalesce(gap, F.lit(False)))
     starts = marked.withColumn("__new", (F.col("after_gap") | ((F.col("role") == "human") & (F.col("ordinal") > 0))).cast("long"))
-    pieces = running_sum(cut(starts.select("session_id", "ordinal", "after_gap", "__new")), ["session_id"], "ordinal", "__new", "piece").drop("__new")
-    placed = cut(sized.join(pieces, ["session_id", "ordinal"]))
-    groups = cut(placed.groupBy("session_id", "piece").agg(
-        (F.sum("length") + 2 * (F.count("*") - 1)).alias("length"),
-        F.min_by("after_gap", "ordinal").alias("after_gap"),
-        F.min_by(greets(F.col("role"), F.col("content")), "ordinal").alias("greets"),
-    ))
+    placed = cut(running_sum(cut(starts.drop("prev_spoken_at")), ["session_id"], "ordinal", "__new", "piece").drop("__new"))
+    groups = cut(placed.groupBy("session_id", "piece").agg((F.sum("length") + 2 * (F.count("*") - 1)).alias("length"), F.min_by("after_gap", "ordinal").alias("after_gap"), F.min_by("greets", "ordinal").alias("greets")))
     boot = groups.filter("piece = 0").select("session_id", F.col("greets").alias("boot"))
     ordered = previous(groups, ["session_id"], "piece", ["length"]).join(boot, "session_id")
     big = lambda c: F.floor(F.col(c) / CHARS_PER_TOKEN) >= MERGE_TOKENS
@@ -111,7 +107,7 @@ def merged_pieces(messages: DataFrame) -> DataFrame:
     runs = running_sum(cut(ordered.withColumn("__f", fresh.cast("long")).select("session_id", "piece", "length", "__f")), ["session_id"], "piece", "__f", "run")
     rows = runs.select("session_id", "run", "piece", "length").repartition("session_id", "run").sortWithinPartitions("session_id", "run", "piece")
     heads = rows.mapInPandas(_merge_runs, "session_id string, piece long, head long")
-    return cut(placed.join(heads, ["session_id", "piece"]))
+    return cut(placed.drop("after_gap").join(heads, ["session_id", "piece"]))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -171,14 +167,16 @@ def chunked(messages: DataFrame) -> DataFrame:
     significance. role is human or assistant; ordinal is dense from 0 and unique in the session; null contents should be left
     out before. Repeated messages are messages of their own; an empty table gives no chunk.
     """
-    pieces = merged_pieces(messages)
+    # texts are written once; everything is decided on keys and lengths, and meets them again at the end
+    texts = cut(messages.select("session_id", "ordinal", "rec_id", "role", "content", "spoken_at", F.length(spoken(F.col("role"), F.col("content"))).cast("long").alias("length"), greets(F.col("role"), F.col("content")).alias("greets")))
+    pieces = merged_pieces(texts.select("session_id", "ordinal", "role", "spoken_at", "length", "greets"))
     size = pieces.groupBy("session_id", "head").agg((F.sum("length") + 2 * (F.count("*") - 1)).alias("chunk_length"))
-    placed = pieces.join(size, ["session_id", "head"])
-    over = F.floor(F.col("chunk_length") / CHARS_PER_TOKEN) > SPLIT_TOKENS
-    placed = cut(placed.withColumn("over", over))
+    over = (F.floor(F.col("chunk_length") / CHARS_PER_TOKEN) > SPLIT_TOKENS).alias("over")
+    placed = cut(pieces.join(size, ["session_id", "head"]).select("session_id", "head", "ordinal", over))
+    full = placed.join(texts.select("session_id", "ordinal", "rec_id", "role", "content", "length"), ["session_id", "ordinal"])
     # only oversized chunks see the splitter, and there only long messages are cut
-    whole = placed.filter("NOT over").select("session_id", "head", "ordinal", F.lit(0).alias("fragment"), "rec_id", "role", F.col("content").alias("text"), F.lit(0).alias("part"))
-    cuts = placed.filter("over").select("*", F.posexplode(fragments("content")).alias("fragment", "text"))
+    whole = full.filter("NOT over").select("session_id", "head", "ordinal", F.lit(0).alias("fragment"), "rec_id", "role", F.col("content").alias("text"), F.lit(0).alias("part"))
+    cuts = full.filter("over").select("*", F.posexplode(fragments("content")).alias("fragment", "text"))
     narrow = cuts.select("session_id", "head", "ordinal", "fragment", F.length("content").cast("long").alias("message_length"), "length", F.length("text").cast("long").alias("fragment_length"))
     parts = narrow.groupBy("session_id", "head").applyInPandas(_split_chunk, "session_id string, head long, ordinal long, fragment int, part int")
     rows = whole.unionByName(cuts.join(parts, ["session_id", "head", "ordinal", "fragment"]).select(whole.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorebase.functions.text import all_terms, simple_tokens
 from lorebase.operators import retrieval as R
 from lorebase.operators.ordinals import context_rows
+from lorebase.session import cut
 from lorebase.sources.records import conversation_names, messages
 from lorebase.sources.tables import session_rows, table
 
@@ -79,7 +80,7 @@ def message_ordinals(spark: SparkSession, root: str) -> DataFrame:
 
 def message_search_context(spark: SparkSession, root: str) -> DataFrame:
     """Messages with all terms, and the messages at most two places from them."""
-    said = _messages(spark, root).select("session_id", "ordinal", "rec_id", "role", "content")
+    said = cut(_messages(spark, root).select("session_id", "ordinal", "rec_id", "role", "content"))  # read off the JSON once
     hits = said.filter(all_terms(simple_tokens("content"), ["importer", "notes"]))
     return context_rows(said, hits, "session_id", "ordinal").select("session_id", "hit_ordinal", "ordinal", "rec_id", "role")
 
