@@ -86,6 +86,6 @@ def with_neighbours(df: DataFrame, group: str, order: str, columns: Sequence[str
     return after.withColumnsRenamed({v: k for k, v in renamed.items()}).drop("__neg")
 
 
-def model_version(model: str, prompt: Column) -> Column:
-    """Name of a model with a digest of the prompt it was given."""
-    return F.concat(F.lit(f"{model}-"), F.substring(F.sha2(prompt, 256), 1, 12))
+def model_version(model: str, prompt: Column, schema: str = "") -> Column:
+    """Name of a model with a digest of the prompt it was given and of the schema its answer must have."""
+    return F.concat(F.lit(f"{model}-"), F.substring(F.sha2(F.concat(prompt, F.lit("\n"), F.lit(schema)), 256), 1, 12))

@@ -99,7 +99,7 @@ def embedded_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def extraction_version(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "chunks").select("id", model_version("model", F.coalesce("content", F.lit(""))).alias("version"))
+    return table(spark, root, "chunks").select("id", model_version("model", F.coalesce("content", F.lit("")), "entities, relations").alias("version"))
 
 
 def _proposals(spark: SparkSession, root: str) -> DataFrame:
@@ -245,7 +245,7 @@ SELECT name, entity_type, coalesce(s, summary) AS summary, CASE WHEN id IS NULL
     "resolve_names": "WITH n AS (SELECT DISTINCT upper(name) AS name FROM entities WHERE name IS NOT NULL), k AS (SELECT lower(name) AS k, count(*) AS n, min(id) AS e FROM entities GROUP BY 1) SELECT name, CASE WHEN coalesce(n, 0) = 1 THEN e END AS entity_id, coalesce(n, 0) AS n FROM n LEFT JOIN k ON k = lower(trim(name))",
     "chunk_context": "SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, lag(chunk_type) OVER w AS prev_chunk_type, lead(chunk_type) OVER w AS next_chunk_type FROM chunks WINDOW w AS (PARTITION BY conversation_id ORDER BY id)",
     "embedded_chunks": "SELECT id, CASE WHEN regexp_matches(coalesce(raw_content, ''), '\\S') THEN 64::BIGINT END AS width, CASE WHEN regexp_matches(coalesce(raw_content, ''), '\\S') THEN 1.0::DOUBLE END AS length FROM chunks",
-    "extraction_version": "SELECT id, 'model-' || sha256(coalesce(content, ''))[1:12] AS version FROM chunks",
+    "extraction_version": "SELECT id, 'model-' || sha256(coalesce(content, '') || chr(10) || 'entities, relations')[1:12] AS version FROM chunks",
     "import_dedupe": "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT min(doc_id) AS doc_id FROM d WHERE text NOT IN (SELECT text FROM d WHERE doc_id % 10 = 0) GROUP BY text",
     "import_conversations": "SELECT DISTINCT s AS session_id FROM (SELECT nullif(lower(trim(sessionId)), '') AS s FROM (SELECT sessionId FROM sample_cc_session UNION ALL SELECT sessionId FROM emotional_session)) WHERE s IS NOT NULL AND s NOT IN (SELECT lower(trim(session_id)) FROM conversations WHERE id % 7 <> 0 AND session_id IS NOT NULL)",
 }

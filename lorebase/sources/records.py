@@ -14,13 +14,13 @@ from lorebase.operators.ordinals import dense_ordinals
 from lorebase.session import cut
 
 
-def session_log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, line_no, line) of every ``*.jsonl`` below folder, except in ``subagents`` folders; blank lines count.
+def session_log_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, line_no, line) of every file of the pattern below folder, except in ``subagents`` folders; blank lines count.
 
     Large files are shared among tasks: lines are numbered inside the block a task reads, by their order there, and the
     sizes of the file's blocks before are added.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")).filter(~F.col("path").rlike("/subagents/"))
     placed = cut(rows.withColumn("__at", F.monotonically_increasing_id()))
     sizes = placed.groupBy("path", "block").agg(F.count("*").alias("__n"))
@@ -39,7 +39,7 @@ def parsed_log(lines: DataFrame) -> DataFrame:
     get = lambda name, kind="string": F.expr(f"try_variant_get(v, '$.{name}', '{kind}')")
     rows = v.select("path", "line_no", get("type").alias("type"), get("sessionId").alias("sid"), get("uuid").alias("uuid"), get("parentUuid").alias("parentUuid"), get("isSidechain", "boolean").alias("isSidechain"), get("timestamp").alias("timestamp"), F.expr("to_json(try_variant_get(v, '$.message', 'variant'))").alias("message"))
     named = rows.groupBy("path").agg(F.min_by("sid", F.when(F.col("sid").isNotNull(), F.col("line_no"))).alias("first"))
-    stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     return rows.join(named, "path").withColumn("sessionId", F.coalesce("first", stem)).drop("first", "sid")
 
 
@@ -121,15 +121,22 @@ def unseen(batch: DataFrame, stored: DataFrame, key: str = "session_id") -> Data
     return first.join(stored.select(identifier(key).alias("__k")).distinct(), "__k", "left_anti").drop("__k")
 
 
-def export_chunks(chunks: DataFrame, folder: str) -> None:
-    """One folder of JSON lines per conversation, in order of start_ordinal."""
+def export_chunks(chunks: DataFrame, folder: str, conversations: DataFrame | None = None, done: Sequence[str] = ("extracted", "complete"), prompt: str | None = None) -> None:
+    """One folder of JSON lines per conversation, in order of start_ordinal; with conversations those that are done are
+    left out. A prompt is written beside them, in the folder ``_prompt``, which readers of the chunks skip."""
+    spark = chunks.sparkSession
+    if conversations is not None:
+        finished = conversations.filter(F.col("pipeline_status").isin(list(done))).select(F.col("id").alias("conversation_id"))
+        chunks = chunks.join(finished, "conversation_id", "left_anti")
+    if prompt is not None:
+        spark.createDataFrame([(prompt,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_prompt")
     rows = chunks.select("conversation_id", "id", "raw_content", "chunk_type", "significance", "start_ordinal")
-    rows.repartition("conversation_id").sortWithinPartitions("conversation_id", "start_ordinal", "id").write.mode("overwrite").partitionBy("conversation_id").json(folder)
+    rows.repartition("conversation_id").sortWithinPartitions("conversation_id", "start_ordinal", "id").write.mode("overwrite").partitionBy("conversation_id").json(f"{folder}/chunks")
 
 
-def extraction_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of ``result_*.json`` files: path, conversation_id, chunk_id, entities, relations, error (unreadable files)."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "result_*.json").text(folder).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+def extraction_results(spark: SparkSession, folder: str, pattern: str = "result_*.json") -> DataFrame:
+    """Results of the files of the pattern: path, conversation_id, chunk_id, entities, relations, error (unreadable files)."""
+    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
     chunks = F.expr("try_variant_get(v, '$.chunks', 'array<variant>')")
     rows = files.select("path", F.expr("try_variant_get(v, '$.conversation_id', 'long')").alias("conversation_id"), F.explode_outer(chunks).alias("c"), F.col("v").isNull().alias("bad"))
     entity = "array<struct<name:string,entity_type:string,match:string,confidence:double,summary:string,reasoning:string>>"
@@ -146,6 +153,32 @@ def owned(results: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.join(own, keys, "left_semi"), results.join(own, keys, "left_anti")
 
 
+def import_report(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(conversation_id, chunks, owned, foreign, errors, entities, relations, extracted): what an import of the results
+    would bring, without importing anything; extracted only where nothing failed and nothing is foreign."""
+    own = chunks.select(F.col("id").alias("chunk_id"), "conversation_id", F.lit(True).alias("__own"))
+    met = results.join(own, ["chunk_id", "conversation_id"], "left")
+    mine, size = F.coalesce("__own", F.lit(False)), lambda c: F.coalesce(F.when(F.col("__own"), F.size(c)), F.lit(0))
+    failed = F.col("error").isNotNull()
+    out = met.groupBy("conversation_id").agg(
+        F.count("chunk_id").alias("chunks"), F.count_if(mine & ~failed).alias("owned"), F.count_if(~mine & ~failed).alias("foreign"), F.count_if(failed).alias("errors"),
+        F.sum(size("entities")).alias("entities"), F.sum(size("relations")).alias("relations"),
+    )
+    return out.withColumn("extracted", (F.col("errors") == 0) & (F.col("foreign") == 0) & (F.col("owned") > 0))
+
+
+def appended(batch: DataFrame, said: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations of a batch that are not stored, and their messages: what one append writes."""
+    fresh = unseen(batch, stored)
+    keys = fresh.select(identifier("session_id").alias("__k"))
+    return fresh, said.withColumn("__k", identifier("session_id")).join(keys, "__k", "left_semi").drop("__k")
+
+
+def missing(asked: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """The asked keys that no row has, each once."""
+    return asked.select(key).filter(F.col(key).isNotNull()).distinct().join(rows.select(key), key, "left_anti")
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """(key, content) of Markdown files: the file's name and its trimmed text; empty ones are left out."""
     files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder)

@@ -147,3 +147,57 @@ def test_timelines_by_stretches(spark):
         for k in ("a", None):
             own = sorted((d or "", i) for key, i, d in data if key == k)
             assert all(got[k, i] == (own[n + 1][1] if n + 1 < len(own) else None) for n, (_, i) in enumerate(own))
+
+
+def test_log_lines_across_blocks(spark, tmp_path):
+    """A file that several tasks share has the line numbers of the whole file."""
+    from lorebase.sources.records import session_log_lines
+
+    lines = [f"line {i} " + "x" * (i % 50) if i % 4 else "" for i in range(400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("only\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        out = session_log_lines(spark, str(tmp_path))
+        assert spark.read.text(f"{tmp_path}/a.jsonl").rdd.getNumPartitions() > 5
+        got = {(r.path[-7:], r.line_no): r.line for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {("a.jsonl", i): x for i, x in enumerate(lines) if x} | {("b.jsonl", 0): "only"}
+
+
+def test_imports_and_exports(spark, rows, tmp_path):
+    from lorebase.sources import records as R
+
+    chunks = spark.createDataFrame([(1, 10, "a", "topic", 3, 0), (2, 10, "b", "topic", 3, 1), (3, 11, "c", "topic", 3, 0)], "id long, conversation_id long, raw_content string, chunk_type string, significance int, start_ordinal int")
+    entity = "array<struct<name:string>>"
+    results = spark.createDataFrame([("f", 10, 1, [("x",)], None, None), ("f", 10, 2, [("x",), ("y",)], [("z",)], None), ("g", 11, 1, [("x",)], None, None), ("g", 11, None, None, None, "chunk_id is missing")], f"path string, conversation_id long, chunk_id long, entities {entity}, relations {entity}, error string")
+    assert rows(R.import_report(results, chunks)) == [(10, 2, 2, 0, 0, 3, 1, True), (11, 1, 0, 1, 1, 0, 0, False)]
+    talks = spark.createDataFrame([(10, "complete"), (11, None)], "id long, pipeline_status string")
+    R.export_chunks(chunks, str(tmp_path), talks, prompt="Do it.")
+    assert rows(spark.read.json(f"{tmp_path}/chunks").select("id")) == [(3,)] and spark.read.text(f"{tmp_path}/_prompt").first().value == "Do it."
+    batch = spark.createDataFrame([("A ",), ("a",), ("b",), ("c",)], "session_id string")
+    said = spark.createDataFrame([("a", "1"), ("B", "2"), ("c", "3")], "session_id string, content string")
+    fresh, messages = R.appended(batch, said, spark.createDataFrame([("C",)], "session_id string"))
+    assert fresh.count() == 2 and rows(messages) == [("B", "2"), ("a", "1")]
+    assert rows(R.missing(spark.createDataFrame([(1,), (1,), (7,), (7,), (None,)], "id long"), chunks)) == [(7,)]
+
+
+def test_checkpoint_folder_is_shared_or_local(spark, monkeypatch):
+    from lorebase import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Cluster:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Cluster())
