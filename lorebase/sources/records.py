@@ -54,10 +54,14 @@ def _talk(rows: DataFrame) -> DataFrame:
     return said.filter(~((F.col("type") == "user") & F.coalesce(result, F.lit(False)))).select("rec_id", "session_id", "msg_id", "parent_id", "own", "side", role, text.alias("content"), F.expr("try_cast(timestamp AS timestamp)").alias("spoken_at"))
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """The messages of rows, one copy each, without their order."""
-    said = _talk(rows.filter(~F.coalesce("isSidechain", F.lit(False)) & F.col("message").isNotNull())).filter("content <> ''")
-    return first_copies(said.select("rec_id", "session_id", "own", "role", "content", "spoken_at"), ["session_id", "own"], ["rec_id"])
+def _said(rows: DataFrame) -> DataFrame:
+    """The messages of rows, copies and all."""
+    return _talk(rows.filter(~F.coalesce("isSidechain", F.lit(False)) & F.col("message").isNotNull())).filter("content <> ''")
+
+
+def _once(rows: DataFrame, *columns: str) -> DataFrame:
+    """The messages of rows, one copy each, without their order; of their other columns only those named."""
+    return first_copies(_said(rows).select("rec_id", "session_id", "own", *columns), ["session_id", "own"], ["rec_id"])
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def messages(rows: DataFrame) -> DataFrame:
     sidechains, unreadable ones and those without text are no messages; one copy of each record counts. The ordinal
     follows arrival; linearised() follows the replies.
     """
-    return dense_ordinals(_once(rows).drop("own"), ["session_id"], "rec_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return dense_ordinals(_once(rows, "role", "content", "spoken_at").drop("own"), ["session_id"], "rec_id").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 def linearised(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -82,8 +86,10 @@ def linearised(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     nodes = cut(first_copies(kept, ["session_id", "own"], ["rec_id"]))
     parents = nodes.filter("msg_id IS NOT NULL").select("session_id", F.col("msg_id").alias("parent_id"), F.col("rec_id").alias("parent_rec"))
     linked = nodes.withColumn("parent_id", F.when(F.col("msg_id").isNotNull(), F.col("parent_id"))).join(parents, ["session_id", "parent_id"], "left")
+    # copies and places are settled on keys; what was said is moved once, to its number
     placed = _once(rows).join(reply_places(linked, task_rows), ["session_id", "own"]).drop("own")
-    return dense_ordinals(placed, ["session_id"], "place").drop("place").withColumn("ordinal", F.col("ordinal").cast("long"))
+    numbered = dense_ordinals(placed, ["session_id"], "place").drop("place").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return numbered.join(_said(rows).select("rec_id", "role", "content", "spoken_at"), "rec_id")
 
 
 def conversation_names(said: DataFrame, most: int = 80) -> DataFrame:
