@@ -52,7 +52,7 @@ def chunk_classify(spark: SparkSession, root: str) -> DataFrame:
 
 
 def linearise_session(spark: SparkSession, root: str) -> DataFrame:
-    """Messages in the order of their reply tree; rows only, a depth-first walk has no practicable SQL."""
+    """Messages in the order of their reply tree."""
     return linearised(session_rows(spark, root)).select("session_id", "rec_id", "ordinal", "role")
 
 
@@ -206,7 +206,20 @@ def _where(table: str, rule: str, where: str) -> str:
     return _broken(table, rule, f"(SELECT count(*) FROM {table} WHERE {where})")
 
 
+# the reply forest as paths from the root: places are the order of the paths
+_WALK = f"""{MESSAGES}, talk AS (SELECT rec_id, nullif(lower(trim(sessionId)), '') AS s, nullif(lower(trim(uuid)), '') AS u, nullif(lower(trim(parentUuid)), '') AS p, coalesce(isSidechain, FALSE) AS side, type, timestamp,
+  CASE WHEN json_valid(message) THEN CASE WHEN json_type(message) = 'VARCHAR' THEN (message::JSON)->>'$' ELSE message END END AS m FROM (SELECT * FROM sample_cc_session UNION ALL SELECT * FROM emotional_session) WHERE type IN ('user', 'assistant')),
+read AS (SELECT *, CASE WHEN json_valid(m) THEN m::JSON END AS j FROM talk WHERE s IS NOT NULL),
+kept AS (SELECT rec_id, s, u, p, side, coalesce(u, chr(1) || rec_id) AS own, coalesce(epoch_us(try_cast(nullif(timestamp, '') AS TIMESTAMPTZ)), -4611686018427387904) AS at FROM read
+  WHERE NOT (type = 'user' AND CASE WHEN json_type(j, '$.content') = 'ARRAY' THEN len(list_filter(CAST(j->'$.content' AS JSON[]), lambda b: b->>'$.type' = 'tool_result')) > 0 ELSE FALSE END) QUALIFY row_number() OVER (PARTITION BY s, own ORDER BY rec_id) = 1),
+lnk AS (SELECT a.*, b.rec_id AS up FROM kept a LEFT JOIN kept b ON a.s = b.s AND a.u IS NOT NULL AND a.p = b.u),
+reach AS (SELECT rec_id, up FROM lnk WHERE up IS NOT NULL UNION SELECT r.rec_id, l.up FROM reach r JOIN lnk l ON r.up = l.rec_id WHERE l.up IS NOT NULL),
+loops AS (SELECT rec_id FROM reach GROUP BY rec_id HAVING bool_or(rec_id = up) AND rec_id = min(up)),
+tree AS (SELECT *, up IS NULL OR rec_id IN (SELECT rec_id FROM loops) AS starts FROM lnk WHERE NOT side),
+walk AS (SELECT rec_id, s, own, [{{'at': 0::BIGINT, 'id': rec_id}}] AS path FROM tree WHERE starts UNION ALL SELECT c.rec_id, c.s, c.own, list_append(w.path, {{'at': c.at, 'id': c.rec_id}}) FROM walk w JOIN tree c ON c.up = w.rec_id AND NOT c.starts)"""
+
 SQL = {
+    "linearise_session": f"WITH RECURSIVE {_WALK} SELECT session_id, m.rec_id, row_number() OVER (PARTITION BY session_id ORDER BY path) - 1 AS ordinal, role FROM msgs m JOIN walk w ON w.s = session_id AND w.own = m.own",
     "entity_summaries": f"WITH {_SUMMARY} SELECT entity_id, made AS summary FROM summed",
     "constraint_violations": " UNION ALL ".join([
         *(_where("chunks", f"{c} is null", f"{c} IS NULL") for c in ("content", "chunk_type", "significance")),
