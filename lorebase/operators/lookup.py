@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.text import all_terms, bm25, english_terms, english_tokens
 from lorebase.operators.graph import active, induced, neighbourhood
-from lorebase.operators.retrieval import expand_entities, expand_messages
+from lorebase.operators.retrieval import access_log, expand_entities, expand_messages, recall
+from lorebase.session import cut
 
 TERM_BUCKETS = 256
 
@@ -41,6 +42,22 @@ def recall_report(hits: DataFrame, depth: int, chunks: DataFrame, entity_chunks:
     return out
 
 
+def recalled(spark: SparkSession, index: str, query: str, vector: list[float], depth: int, as_of: str, tables: Mapping[str, DataFrame], limit: int = 10, chunk_type: str | None = None, buckets: int = TERM_BUCKETS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recall as one call: the hits, what recall_report tells of them at the depth, and the access events to append.
+
+    index: folder of build_postings over the chunks. tables: chunks, entity_chunks, entities, conversations, messages. With a
+    chunk_type the index is asked for all matches, as it does not hold types, and the best twenty of the type are taken.
+    """
+    chunks = tables["chunks"]
+    words = search_postings(spark, index, query, 20 if chunk_type is None else 1 << 30, buckets)
+    if chunk_type is not None:
+        words = words.join(chunks.filter(F.col("chunk_type") == chunk_type).select("id"), "id").orderBy("keyword_rank").limit(20)
+        words = words.withColumn("keyword_rank", F.expr("row_number() OVER (ORDER BY keyword_rank)"))
+    hits = cut(recall(chunks, vector, words, as_of, limit, chunk_type))
+    report = recall_report(hits, depth, chunks, tables["entity_chunks"], tables["entities"], tables["conversations"], tables["messages"])
+    return hits, report, access_log(hits, tables["entity_chunks"], as_of)
+
+
 def resolved_entity(entities: DataFrame, asked: str, by: str = "access_count") -> DataFrame:
     """The one entity that is asked for: by number if the text is one and an entity has it, else by part of its name in
     any case, the exact name first, then the most used. Blank text and no match give no row."""

@@ -62,11 +62,15 @@ def score(fused: DataFrame, chunks: DataFrame, as_of: str) -> DataFrame:
     return parts.withColumn("final_score", total).drop("best", "created_at", "significance")
 
 
-def recall(chunks: DataFrame, query: list[float], terms: list[str], as_of: str, limit: int = 10, chunk_type: str | None = None) -> DataFrame:
-    """Hybrid recall. No vector: keywords alone; no terms: the vector alone; limit is clamped to 1..50."""
+def recall(chunks: DataFrame, query: list[float], terms: list[str] | DataFrame, as_of: str, limit: int = 10, chunk_type: str | None = None) -> DataFrame:
+    """Hybrid recall. No vector: keywords alone; no terms: the vector alone; limit is clamped to 1..50.
+
+    terms may be the keyword arm itself (id, keyword_rank), as an index gives it; then the chunks' texts are not read.
+    """
     if chunk_type is not None:
         chunks = chunks.filter(F.col("chunk_type") == chunk_type)
-    fused = fuse(vector_arm(chunks, query) if query else vector_arm(chunks.limit(0), [0.0]), keyword_arm(chunks, terms))
+    words = terms if isinstance(terms, DataFrame) else keyword_arm(chunks, terms)
+    fused = fuse(vector_arm(chunks, query) if query else vector_arm(chunks.limit(0), [0.0]), words)
     ranked = score(fused, chunks, as_of)
     return ranked.orderBy(F.col("final_score").desc(), F.col("vector_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last(), "id").limit(max(1, min(50, limit)))
 

@@ -20,7 +20,7 @@ from lorebase.plans.curation import _PAIRS, _SUMMARY, _denied, _proposals
 from lorebase.plans.curation import SQL as CURATION
 from lorebase.plans.graph import CUSTOMER, edges, nodes
 from lorebase.plans.graph import SQL as GRAPH
-from lorebase.plans.retrieval import _RECALL, AS_OF, MESSAGES, QUERY, TERMS
+from lorebase.plans.retrieval import _REC, _RECALL, AS_OF, MESSAGES, QUERY, TERMS, _varm
 from lorebase.session import cut, shared_folder
 from lorebase.sources.records import messages
 from lorebase.sources.tables import session_rows, table
@@ -156,6 +156,24 @@ def recall_depths(spark: SparkSession, root: str) -> DataFrame:
     return U.recall_report(cut(hits), 3, _read(spark, root, "chunks"), _read(spark, root, "entity_chunks"), _read(spark, root, "entities"), _read(spark, root, "conversations"), messages(session_rows(spark, root)))
 
 
+def _recalled(spark: SparkSession, root: str, depth: int, chunk_type: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    folder = shared_folder(spark, "postings")
+    U.build_postings(_read(spark, root, "chunks"), folder, buckets=16)
+    tables = {n: _read(spark, root, n) for n in ("chunks", "entity_chunks", "entities", "conversations")} | {"messages": messages(session_rows(spark, root))}
+    return U.recalled(spark, folder, "the indexing of a note", QUERY, depth, AS_OF, tables, 10, chunk_type, 16)
+
+
+def recall_stemmed(spark: SparkSession, root: str) -> DataFrame:
+    """Hybrid recall with its keywords from the index of stems."""
+    return _recalled(spark, root, 1)[0].select("id", *(F.round(x, 6).alias(x) for x in ("rrf_vector", "rrf_keyword", "final_score")))
+
+
+def recall_of_type(spark: SparkSession, root: str) -> DataFrame:
+    """The same among decisions, and the access events it leaves."""
+    hits, _, log = _recalled(spark, root, 1, "decision")
+    return log.select("kind", "id").unionByName(hits.select(F.lit("hit").alias("kind"), "id"))
+
+
 def keyword_search_stemmed(spark: SparkSession, root: str) -> DataFrame:
     """Twenty best chunks with all stems of the query, from an index of stems."""
     folder = shared_folder(spark, "postings")
@@ -234,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extraction_actions, extraction_relations, extraction_counters, extraction_rollup, extraction_links, review_queue, review_decisions, review_aliases, review_errors, add_relations, correct_relations, correct_entities, audit_report,
-        recall_depths, keyword_search_stemmed, keyword_match_stemmed, search_messages_ranked, get_entity, neighbourhood_named, boot_report, topic_significance, entities_to_reconsolidate, reconsolidated, exportable_conversations,
+        recall_depths, recall_stemmed, recall_of_type, keyword_search_stemmed, keyword_match_stemmed, search_messages_ranked, get_entity, neighbourhood_named, boot_report, topic_significance, entities_to_reconsolidate, reconsolidated, exportable_conversations,
         chunk_outcomes, deleted_entities,
     )
 }
@@ -269,6 +287,14 @@ def _stemmed(of: str, *stems: str) -> str:
     return f"w AS (SELECT *, {_WORDS} AS t FROM {of}), f AS (SELECT *, {tf} FROM w), st AS (SELECT count(*) AS n, avg(len(t)) AS al, {df} FROM f), scored AS (SELECT *, {score} AS score FROM f, st WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(stems)))})"
 
 
+def _hybrid(of: str, where: str) -> str:
+    """Hits of hybrid recall over the stems of index and note."""
+    return f"""{_varm(where)}, {_stemmed(of, 'index', 'note')}, karm AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS keyword_rank FROM scored WHERE {where} QUALIFY keyword_rank <= 20),
+fused AS (SELECT id, vector_rank, keyword_rank, coalesce(1 / (60 + vector_rank), 0) AS rrf_vector, coalesce(1 / (60 + keyword_rank), 0) AS rrf_keyword FROM varm FULL JOIN karm USING (id)),
+ranked AS (SELECT id, rrf_vector, rrf_keyword, vector_rank, keyword_rank, 0.6 * (rrf_vector + rrf_keyword) / max(rrf_vector + rrf_keyword) OVER () + 0.2 * {_REC} + 0.2 * coalesce(significance, 3) / 5 AS final_score FROM fused JOIN chunks USING (id)),
+hits AS (SELECT * FROM ranked ORDER BY final_score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, id LIMIT 10)"""
+
+
 SQL = {
     "extraction_actions": f"{_A} SELECT proposal_id, chunk_id, action, entity_id FROM b",
     "extraction_relations": f"{_A} SELECT relation_id, chunk_id, source_id, target_id, outcome FROM outcomes",
@@ -293,6 +319,8 @@ UNION ALL SELECT 'stale', count(*) FROM stale UNION ALL SELECT 'unknown', NULL)"
     "recall_depths": f"""WITH {_RECALL}, {MESSAGES}, h AS (SELECT k.id AS chunk_id, conversation_id, k.content, start_ordinal, end_ordinal, c.session_id, c.name FROM hits JOIN chunks k USING (id) LEFT JOIN conversations c ON c.id = conversation_id)
 SELECT chunk_id, 'entity' AS item, e.id AS ref, e.name AS detail FROM hits JOIN entity_chunks x ON x.chunk_id = hits.id JOIN entities e ON e.id = x.entity_id UNION ALL SELECT chunk_id, 'content', start_ordinal, content FROM h
 UNION ALL SELECT chunk_id, 'conversation', conversation_id, name FROM h WHERE session_id IS NOT NULL UNION ALL SELECT chunk_id, 'message', rec_id, role FROM h JOIN msgs USING (session_id) WHERE ordinal BETWEEN start_ordinal AND least(end_ordinal, start_ordinal + 99)""",
+    "recall_stemmed": f"WITH {_hybrid('chunks', 'TRUE')} SELECT id, round(rrf_vector, 6) AS rrf_vector, round(rrf_keyword, 6) AS rrf_keyword, round(final_score, 6) AS final_score FROM hits",
+    "recall_of_type": f"""WITH {_hybrid('chunks', "chunk_type = 'decision'")} SELECT 'hit' AS kind, id FROM hits UNION ALL SELECT 'chunk', id FROM hits UNION ALL SELECT DISTINCT 'entity', entity_id FROM entity_chunks WHERE chunk_id IN (SELECT id FROM hits)""",
     "keyword_search_stemmed": f"WITH {_stemmed('chunks', 'index', 'note')} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS keyword_rank FROM scored QUALIFY keyword_rank <= 20",
     "keyword_match_stemmed": f"WITH {_stemmed('chunks', 'index', 'note')} SELECT id FROM scored",
     "search_messages_ranked": f"""WITH {MESSAGES}, own AS (SELECT msgs.session_id, rec_id, content FROM msgs JOIN conversations c ON c.session_id = msgs.session_id WHERE c.source = 'cc' AND spoken_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND spoken_at < TIMESTAMPTZ '2026-06-01 00:00:00+00'), {_stemmed('own', 'import', 'note')}
