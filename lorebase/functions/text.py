@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -59,6 +60,7 @@ def _swap(word: str, rules: str) -> str:
     return word
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def porter_stem(word: str) -> str:
     if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word
