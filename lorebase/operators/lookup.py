@@ -15,6 +15,7 @@ from lorebase.operators.retrieval import access_log, expand_entities, expand_mes
 from lorebase.session import cut
 
 TERM_BUCKETS = 256
+POSTING = "term string, id long, tf int, n_terms int"
 
 
 def clamped(value: int, least: int, most: int) -> int:
@@ -49,10 +50,10 @@ def recalled(spark: SparkSession, index: str, query: str, vector: list[float], d
     chunk_type the index is asked for all matches, as it does not hold types, and the best twenty of the type are taken.
     """
     chunks = tables["chunks"]
-    words = search_postings(spark, index, query, 20 if chunk_type is None else 1 << 30, buckets)
+    matches = match_postings(spark, index, query, buckets)
     if chunk_type is not None:
-        words = words.join(chunks.filter(F.col("chunk_type") == chunk_type).select("id"), "id").orderBy("keyword_rank").limit(20)
-        words = words.withColumn("keyword_rank", F.expr("row_number() OVER (ORDER BY keyword_rank)"))
+        matches = matches.join(chunks.filter(F.col("chunk_type") == chunk_type).select("id"), "id")
+    words = _ranked(matches, 20)
     hits = cut(recall(chunks, vector, words, as_of, limit, chunk_type))
     report = recall_report(hits, depth, chunks, tables["entity_chunks"], tables["entities"], tables["conversations"], tables["messages"])
     return hits, report, access_log(hits, tables["entity_chunks"], as_of)
@@ -112,27 +113,39 @@ def build_postings(texts: DataFrame, folder: str, key: str = "id", text: str = "
     A text without terms has one row with an empty term, so that the collection's size is the index's own. A search
     reads the buckets of its terms only, and in them the row groups that hold them.
     """
-    rows = texts.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInPandas(_postings, "term string, id long, tf int, n_terms int")
+    rows = texts.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInPandas(_postings, POSTING)
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     # a frequent term spreads over the tasks of its bucket by a salt
     placed.repartition("bucket", F.pmod("id", F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     rows.groupBy("id").agg(F.max("n_terms").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("average")).write.mode("overwrite").parquet(f"{folder}/sizes")
 
 
-def search_postings(spark: SparkSession, folder: str, query: str, k: int = 20, buckets: int = TERM_BUCKETS) -> DataFrame:
-    """(id, score, keyword_rank): the k texts with all stems of the query that BM25 ranks highest; none for a blank query."""
+def match_postings(spark: SparkSession, folder: str, query: str, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """(id, score): every text with all stems of the query and its BM25, in no order; none for a blank query."""
     terms = sorted(set(english_terms(query)))
-    index = spark.read.parquet(f"{folder}/postings")
+    index = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{folder}/postings")  # of no texts there is no file to tell it
     if not terms:
-        return index.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(0).alias("keyword_rank"))
+        return index.limit(0).select("id", F.lit(0.0).alias("score"))
     wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int")).distinct().collect()]
     met = index.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
     sizes = F.broadcast(spark.read.parquet(f"{folder}/sizes"))  # one row
     df = F.broadcast(met.groupBy("term").agg(F.count("*").alias("df")))  # one row a term of the query
     part = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n_terms") / F.col("average")))
-    scored = met.join(df, "term").join(sizes, F.lit(True)).groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(terms))
-    top = scored.orderBy(F.round("score", 9).desc(), "id").limit(k)
-    return top.withColumn("keyword_rank", F.expr("row_number() OVER (ORDER BY round(score, 9) DESC, id)")).drop("n")
+    scored = met.join(df, "term").join(sizes, F.lit(True)).groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("n"))
+    return scored.filter(F.col("n") == len(terms)).drop("n")
+
+
+def _ranked(matches: DataFrame, k: int) -> DataFrame:
+    top = matches.orderBy(F.round("score", 9).desc(), "id").limit(k)
+    return top.withColumn("keyword_rank", F.expr("row_number() OVER (ORDER BY round(score, 9) DESC, id)"))
+
+
+def search_postings(spark: SparkSession, folder: str, query: str, k: int = 20, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """(id, score, keyword_rank): the k texts with all stems of the query that BM25 ranks highest; none for a blank query.
+
+    A task holds room for k rows, so k stays small; match_postings is for all of them.
+    """
+    return _ranked(match_postings(spark, folder, query, buckets), k)
 
 
 def search_messages(messages: DataFrame, conversations: DataFrame, query: str, first_day: str | None = None, last_day: str | None = None, source: str | None = None, limit: int = 10) -> DataFrame:

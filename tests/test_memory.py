@@ -119,6 +119,28 @@ def test_index(spark, rows, tmp_path):
     assert find("note index", "2026-01-01", "2026-03-31") == [1] and find("note index") == [1, 2, 3] and find("note", source="b") == [3] and find(" the ") == [] and len(find("note", limit=0)) == 1
 
 
+def test_all_matches_of_the_index(spark, rows, tmp_path):
+    """All matches need no room for an order of all of them, nor one task that makes it."""
+    from lorebase.plans.memory import SQL, keyword_match_stemmed, keyword_search_stemmed
+    from tests.oracle import same, tables
+
+    texts = {0: "an index of notes", 1: "noted, indexed, noting", 2: "note", 3: "indexes", 4: "", 5: None}
+    df = spark.createDataFrame([(i, texts[i % 6]) for i in range(300)], "id long, content string")
+    df.repartition(3).write.parquet(f"{tmp_path}/chunks.parquet")
+    con = tables(tmp_path)
+    out = keyword_match_stemmed(spark, str(tmp_path))
+    assert rows(out) == [(i,) for i in range(300) if i % 6 < 2]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Window" not in plan
+    same(out, con, SQL["keyword_match_stemmed"])
+    same(keyword_search_stemmed(spark, str(tmp_path)), con, SQL["keyword_search_stemmed"])
+    U.build_postings(df, f"{tmp_path}/index", buckets=4)
+    none = U.match_postings(spark, f"{tmp_path}/index", "of the", 4)
+    assert none.columns == ["id", "score"] and none.count() == 0
+    U.build_postings(df.limit(0), f"{tmp_path}/empty", buckets=4)
+    assert U.match_postings(spark, f"{tmp_path}/empty", "index", 4).count() == 0 and U.search_postings(spark, f"{tmp_path}/empty", "index", 5, 4).count() == 0
+
+
 def test_upkeep(spark, rows, tmp_path):
     frame = spark.createDataFrame([(1,), (2,)], "id long")
     log = K.audit_log(spark, {"two": lambda: frame, "broken": lambda: frame.select("nope")}, NOW, 1)
