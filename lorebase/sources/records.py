@@ -134,9 +134,14 @@ def export_chunks(chunks: DataFrame, folder: str, conversations: DataFrame | Non
     rows.repartition("conversation_id").sortWithinPartitions("conversation_id", "start_ordinal", "id").write.mode("overwrite").partitionBy("conversation_id").json(f"{folder}/chunks")
 
 
-def extraction_results(spark: SparkSession, folder: str, pattern: str = "result_*.json") -> DataFrame:
-    """Results of the files of the pattern: path, conversation_id, chunk_id, entities, relations, error (unreadable files)."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+def extraction_results(spark: SparkSession, folder: str, pattern: str = "result_*.json", lines: bool = False) -> DataFrame:
+    """Results of the files of the pattern: path, conversation_id, chunk_id, entities, relations, error (unreadable results).
+
+    A file is one result; with lines every line is one, blank ones do not count. Very many results are better handed over
+    in lines: opening a file costs more than reading its result, and tasks share large files of lines.
+    """
+    text = spark.read.option("wholetext", str(not lines).lower()).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = (text.filter(not_blank("value")) if lines else text).select("path", F.try_parse_json("value").alias("v"))
     chunks = F.expr("try_variant_get(v, '$.chunks', 'array<variant>')")
     rows = files.select("path", F.expr("try_variant_get(v, '$.conversation_id', 'long')").alias("conversation_id"), F.explode_outer(chunks).alias("c"), F.col("v").isNull().alias("bad"))
     entity = "array<struct<name:string,entity_type:string,match:string,confidence:double,summary:string,reasoning:string>>"

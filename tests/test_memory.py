@@ -206,6 +206,30 @@ def test_imports_and_exports(spark, rows, tmp_path):
     assert rows(R.missing(spark.createDataFrame([(1,), (1,), (7,), (7,), (None,)], "id long"), chunks)) == [(7,)]
 
 
+def test_results_in_lines(spark, rows, tmp_path, monkeypatch):
+    import json
+    from pathlib import Path
+
+    from lorebase.plans import ingest
+    from lorebase.sources import records as R
+
+    said = [{"conversation_id": 4, "chunks": [{"chunk_id": 1, "entities": [{"name": "A\nB", "entity_type": "Tool"}]}, {"entities": []}]}, {"conversation_id": 5, "chunks": [{"chunk_id": 2}]}, {"chunks": [{"chunk_id": 3}]}]
+    (tmp_path / "result_1.json").write_text("\n".join(map(json.dumps, said[:2])) + "\n \n{broken\n")
+    (tmp_path / "result_2.json").write_text(json.dumps(said[2]))
+    results = R.extraction_results(spark, str(tmp_path), lines=True)
+    assert rows(results, "conversation_id", "chunk_id", "error") == [(4, 1, None), (4, None, "chunk_id is missing"), (5, 2, None), (None, 3, "conversation_id is missing"), (None, None, "unreadable")]
+
+    # 3,000 results of 30 conversations, those of three unreadable; the batch is written in as many files as tasks, not as results
+    chunks = spark.range(0, 3_000_000, 1_000).select("id", (F.col("id") / 1_000 % 30).cast("long").alias("conversation_id"))
+    chunks.write.parquet(str(tmp_path / "chunks.parquet"))
+    monkeypatch.setattr(ingest, "shared_folder", lambda spark, name: str(tmp_path / name))
+    out = {r.conversation_id: r for r in ingest.result_import(spark, str(tmp_path)).collect()}
+    assert set(out) == {c for c in range(31) if c % 9} and all(r.errors == 0 for r in out.values())
+    want = chunks.withColumn("said", F.col("conversation_id") + 1).groupBy("said").count().filter("said % 9 <> 0")
+    assert {(k, r.chunks, r.foreign) for k, r in out.items() if r.chunks} == {(r.said, r["count"], r["count"]) for r in want.collect()}
+    assert 0 < len(list(Path(tmp_path / "results").rglob("*.txt"))) <= 200
+
+
 def test_checkpoint_folder_is_shared_or_local(spark, monkeypatch):
     from lorebase import session
 
