@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import jaccard, trigrams
 from lorebase.operators.graph import active
-from lorebase.session import cut
+from lorebase.session import cut, exchanged
 
 
 def similar_names(names: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -32,15 +32,25 @@ def similar_names(names: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def prefix_keys(sets: DataFrame, key: str, spread: DataFrame, threshold: float) -> DataFrame:
-    """(key, kind, n, key): pairs of rare trigrams of sets(key, kind, grams), any two sets above threshold share one.
+    """(key, kind, n, at, key): pairs of rare trigrams of sets(key, kind, grams), any two sets above threshold share one.
 
-    spread: kind, gram, df. Every set has two trigrams or more, as words are padded.
+    spread: kind, gram, df. Every set has two trigrams or more, as words are padded. at is the place of the pair's later
+    trigram in its set, for may_exceed().
     """
-    single = sets.select(key, "kind", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(spread, ["kind", "gram"], "left").fillna(0, ["df"])
+    single = sets.select(key, "kind", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(exchanged(spread), ["kind", "gram"], "left").fillna(0, ["df"])
     ordered = single.groupBy(key, "kind", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("g"))
     first = F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 2).cast("int"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.transform(F.slice("p", i + 1, F.size("p")), lambda g: F.xxhash64(F.col("kind"), F.least(F.element_at("p", i), g), F.greatest(F.element_at("p", i), g)))))
-    return ordered.withColumn("p", first).filter(F.size("p") > 1).select(key, "kind", "n", F.explode(pairs).alias("key"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.transform(F.slice("p", i + 1, F.size("p")), lambda g, j: F.struct((i + j + 1).alias("at"), F.xxhash64(F.col("kind"), F.least(F.element_at("p", i), g), F.greatest(F.element_at("p", i), g)).alias("key")))))
+    return ordered.withColumn("p", first).filter(F.size("p") > 1).select(key, "kind", "n", F.explode(pairs).alias("x")).select(key, "kind", "n", "x.at", "x.key")
+
+
+def may_exceed(threshold: float, n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
+    """Whether two sets that share a pair of prefix_keys can be above threshold, if the pair is the first two trigrams they share.
+
+    Then the others they share come after it in both. A later shared pair of theirs may fail, their first one does not.
+    """
+    most = 2 + F.least(n - at, other_n - other_at)
+    return most * (1 + threshold) > (n + other_n) * threshold - 1e-9
 
 
 def orphans(entities: DataFrame, links: DataFrame, spared: Sequence[int] = (1, 2)) -> DataFrame:

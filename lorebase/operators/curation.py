@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import vocabulary as V
-from lorebase.functions.text import jaccard, trigrams
-from lorebase.operators.audits import prefix_keys
-from lorebase.session import cut
+from lorebase.functions.text import trigrams
+from lorebase.operators.audits import may_exceed, prefix_keys
+from lorebase.session import cut, exchanged
 
 
 def _errors(checks: Sequence[tuple[Column, str]]) -> Column:
@@ -44,9 +44,12 @@ def fuzzy_candidates(proposals: DataFrame, entities: DataFrame, threshold: float
     known = cut(entities.select("id", F.col("entity_type").alias("kind"), trigrams(F.lower("name")).alias("grams")))
     asked = cut(proposals.select("proposal_id", F.col("entity_type").alias("kind"), trigrams(F.lower(F.trim("name"))).alias("grams")))
     spread = known.select("kind", F.explode("grams").alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("df"))
-    met = prefix_keys(asked, "proposal_id", spread, threshold).select("proposal_id", "key").join(prefix_keys(known, "id", spread, threshold).select("id", "key"), "key").select("proposal_id", "id").distinct()
-    scored = met.join(asked.select("proposal_id", F.col("grams").alias("ga")), "proposal_id").join(known.select("id", F.col("grams").alias("gb")), "id")
-    scored = scored.withColumn("similarity", jaccard("ga", "gb")).filter(F.col("similarity") > threshold)
+    a, b = prefix_keys(asked, "proposal_id", spread, threshold).alias("a"), prefix_keys(known, "id", spread, threshold).alias("b")
+    able = may_exceed(threshold, *(F.col(c) for c in ("a.n", "a.at", "b.n", "b.at")))
+    met = a.join(exchanged(b), (F.col("a.key") == F.col("b.key")) & able).select("proposal_id", "id").distinct()
+    scored = met.join(exchanged(asked.select("proposal_id", F.col("grams").alias("ga"))), "proposal_id").join(exchanged(known.select("id", F.col("grams").alias("gb"))), "id")
+    both = F.size(F.array_intersect("ga", "gb"))
+    scored = scored.withColumn("similarity", both / (F.size("ga") + F.size("gb") - both)).filter(F.col("similarity") > threshold)
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("proposal_id").orderBy(F.col("similarity").desc(), "id"))).filter(F.col("r") <= most)
     return best.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("fuzzy"))
 
@@ -56,15 +59,18 @@ def route_entities(proposals: DataFrame, entities: DataFrame, denied: DataFrame)
 
     The order of the checks decides: speaker, denied name, exact name, name under another type, alias, similar
     names, new with enough confidence; everything else is for review. All lookups see one snapshot of the entities.
+    Similar names are looked for only where no check before them decides.
     """
     asked = proposals.withColumn("__key", F.lower(F.trim("name")))
     exact = entities.groupBy(F.lower("name").alias("__key"), "entity_type").agg(F.min("id").alias("exact_id"))
     anyhow = entities.groupBy(F.lower("name").alias("__key")).agg(F.min("id").alias("cross_id"))
     alias = entities.select("id", "entity_type", F.explode("aliases").alias("a")).groupBy(F.lower("a").alias("__key"), "entity_type").agg(F.min("id").alias("alias_id"))
     barred = denied.select(F.lower("name").alias("__key"), "entity_type").distinct().withColumn("denied", F.lit(True))
-    out = asked.join(exact, ["__key", "entity_type"], "left").join(anyhow, "__key", "left").join(alias, ["__key", "entity_type"], "left").join(barred, ["__key", "entity_type"], "left")
-    out = out.join(fuzzy_candidates(proposals, entities), "proposal_id", "left")
+    out = asked.join(exchanged(exact), ["__key", "entity_type"], "left").join(exchanged(anyhow), "__key", "left").join(exchanged(alias), ["__key", "entity_type"], "left").join(exchanged(barred), ["__key", "entity_type"], "left")
+    out = cut(out)
     speaker = reduce(lambda c, s: c.when(F.col("__key") == s[1].lower(), F.lit(s[0])), V.SPEAKERS.items(), F.when(F.lit(False), F.lit(0)))
+    open_ = out.filter(speaker.isNull() & F.coalesce("exact_id", "cross_id", "alias_id").isNull() & F.col("denied").isNull())
+    out = out.join(exchanged(fuzzy_candidates(open_, entities)), "proposal_id", "left")
     sure = F.col("confidence") >= V.EXISTING_THRESHOLD
     fields = lambda action, entity, reason: F.struct(F.lit(action).alias("action"), entity.cast("long").alias("entity_id"), F.lit(reason).alias("reason"))
     none = F.lit(None)
@@ -94,7 +100,7 @@ def route_relations(relations: DataFrame, applied: DataFrame) -> DataFrame:
     out = relations
     for side in ("source", "target"):
         found = known.select("chunk_id", F.col("k").alias(f"__{side}"), F.col("e").alias(f"__{side}_e"))
-        out = out.withColumn(f"__{side}", F.lower(F.trim(side))).join(found, ["chunk_id", f"__{side}"], "left")
+        out = out.withColumn(f"__{side}", F.lower(F.trim(side))).join(exchanged(found), ["chunk_id", f"__{side}"], "left")
         out = out.withColumn(f"{side}_id", F.coalesce(speaker(F.col(side)).cast("long"), F.col(f"__{side}_e"))).drop(f"__{side}", f"__{side}_e")
     action = F.when(F.col("source_id").isNull() | F.col("target_id").isNull(), "skip: unresolved").when(F.col("source_id") == F.col("target_id"), "skip: itself").otherwise("apply")
     return out.withColumn("action", action)

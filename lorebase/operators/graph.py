@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.session import cut
+from lorebase.session import cut, exchanged
 
 MAX_HOPS = 3
 
@@ -67,7 +67,7 @@ def superseded(facts: DataFrame, key: Sequence[str], valid_from: str, tie: str,
     after = heads.withColumn("__after", F.lead("__first").over(Window.partitionBy(*key).orderBy(F.col("__cut").asc_nulls_first()))).drop("__first")
     names = [*key, "__cut"]
     right = after.select(*(F.col(c).alias(f"__r_{c}") for c in names), "__after")
-    met = placed.withColumn("__next", F.lead(one).over(order)).join(right, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in names])
+    met = placed.withColumn("__next", F.lead(one).over(order)).join(exchanged(right), [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in names])
     closed = met.withColumn("__next", F.coalesce("__next", "__after"))
     return closed.withColumns({"superseded_at": F.col("__next.at"), "superseded_by": F.col("__next.by")}).drop("__next", "__after", "__cut", *(f"__r_{c}" for c in names))
 
@@ -80,7 +80,7 @@ def supersede(edges: DataFrame, incoming: DataFrame, exclusive: Sequence[str]) -
     now = active(edges).select("source_id", "relation_type", F.col("target_id").alias("old_target"), F.col("edge_id").alias("old_edge"), F.col("valid_from").alias("old_from"))
     same = now.select("source_id", "relation_type", F.col("old_target").alias("target_id"), F.lit(True).alias("same")).distinct()
     rival = now.filter(F.col("relation_type").isin(list(exclusive))).groupBy("source_id", "relation_type").agg(F.max_by(F.struct("old_target", "old_edge", "old_from"), F.struct("old_from", "old_edge")).alias("old"))
-    out = incoming.join(same, ["source_id", "relation_type", "target_id"], "left").join(rival, ["source_id", "relation_type"], "left")
+    out = incoming.join(exchanged(same), ["source_id", "relation_type", "target_id"], "left").join(exchanged(rival), ["source_id", "relation_type"], "left")
     stale = F.col("valid_from").isNotNull() & F.col("old.old_from").isNotNull() & (F.col("valid_from") <= F.col("old.old_from"))
     action = F.when(F.col("same"), "duplicate").when(F.col("old").isNull(), "create").when(stale, "skip").otherwise("supersede")
     return out.withColumn("action", action).withColumn("closes", F.when(F.col("action") == "supersede", F.col("old.old_edge"))).drop("same", "old")

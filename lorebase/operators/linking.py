@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import vocabulary as V
 from lorebase.operators.curation import entity_errors, next_ids, relation_errors, route_entities, route_relations
 from lorebase.operators.graph import supersede, superseded
-from lorebase.session import cut
+from lorebase.session import cut, exchanged
 
 COUNTERS = ("entities_applied", "entities_created", "entities_reviewed", "entities_rejected", "relations_created", "relations_superseded", "relations_skipped", "flags")
 
@@ -49,11 +49,11 @@ def linked(proposals: DataFrame, relations: DataFrame, entities: DataFrame, deni
     """
     checked = proposals.withColumn("__bad", F.size(entity_errors()) > 0)
     routed = route_entities(checked.filter("NOT __bad"), entities, denied).select("proposal_id", "action", "entity_id", "reason", "candidates")
-    acted = cut(proposals.join(routed, "proposal_id", "left").withColumn("action", F.coalesce("action", F.lit("reject"))))
+    acted = cut(proposals.join(exchanged(routed), "proposal_id", "left").withColumn("action", F.coalesce("action", F.lit("reject"))))
     fresh = acted.filter("action = 'create_new'").groupBy(F.trim("name").alias("name"), "entity_type").agg(F.max("summary").alias("summary"))
     made = cut(next_ids(fresh, entities, ["name", "entity_type"]).select("id", "name", "entity_type", "summary"))
     new_id = made.select(F.col("id").alias("__id"), F.col("name").alias("__name"), F.col("entity_type").alias("__type"))
-    named = acted.join(new_id, (F.trim("name") == F.col("__name")) & (F.col("entity_type") == F.col("__type")) & (F.col("action") == "create_new"), "left")
+    named = acted.join(exchanged(new_id), (F.trim("name") == F.col("__name")) & (F.col("entity_type") == F.col("__type")) & (F.col("action") == "create_new"), "left")
     actions = cut(named.withColumn("entity_id", F.coalesce("__id", "entity_id")).drop("__id", "__name", "__type"))
     applied = actions.filter(F.col("action").isin("singleton", "apply_existing", "create_new"))
     told = applied.filter("action = 'apply_existing' AND summary <> ''").groupBy(F.col("entity_id").alias("id")).agg(F.max_by("summary", "proposal_id").alias("summary"))
@@ -65,23 +65,23 @@ def linked(proposals: DataFrame, relations: DataFrame, entities: DataFrame, deni
     open_ = judged.filter(F.col("action").isin("create", "supersede"))
     same = ["source_id", "target_id", "relation_type"]
     first = open_.groupBy(*same).agg(F.min("relation_id").alias("first"))
-    open_ = open_.join(first, same)
+    open_ = open_.join(exchanged(first), same)
     heads = next_ids(open_.filter("relation_id = first"), edges, ["relation_id"], "edge_id")
     # exclusive ones form a timeline per source and type; the first of it closes what was active before
     limited = F.col("relation_type").isin(list(exclusive))
     timeline = superseded(heads.filter(limited), ["source_id", "relation_type"], "valid_from", "edge_id").withColumnRenamed("superseded_by", "next_edge")
     started = timeline.groupBy("source_id", "relation_type").agg(F.min_by("edge_id", F.struct("valid_from", "edge_id")).alias("__head"))
-    heads = heads.join(timeline.select("edge_id", "next_edge"), "edge_id", "left").join(started, ["source_id", "relation_type"], "left")
+    heads = heads.join(exchanged(timeline.select("edge_id", "next_edge")), "edge_id", "left").join(exchanged(started), ["source_id", "relation_type"], "left")
     heads = cut(heads.withColumn("closes", F.when(F.col("edge_id") == F.coalesce("__head", "edge_id"), F.col("closes"))))
     rival = limited & (F.col("edge_id") != F.coalesce("__head", "edge_id"))
     outcome = heads.select("relation_id", F.when((F.col("action") == "supersede") | rival, "superseded").otherwise("created").alias("__o"))
-    placed = relations.select("relation_id", "chunk_id", "relation_type").join(judged.select("relation_id", "source_id", "target_id", "closes"), "relation_id", "left").join(outcome, "relation_id", "left")
+    placed = relations.select("relation_id", "chunk_id", "relation_type").join(exchanged(judged.select("relation_id", "source_id", "target_id", "closes")), "relation_id", "left").join(exchanged(outcome), "relation_id", "left")
     placed = placed.withColumn("outcome", F.coalesce("__o", F.lit("skipped"))).drop("__o")
     rows = heads.select("edge_id", *same, "description", "valid_from", "next_edge")
     closed = heads.filter("closes IS NOT NULL").select(F.col("closes").alias("edge_id"), F.col("edge_id").alias("superseded_by"))
     known = edges.filter("superseded_at IS NULL").groupBy(*same).agg(F.min("edge_id").alias("edge_id"))
-    of = judged.filter("action = 'duplicate'").join(known, same).select("edge_id", "chunk_id")
-    of = of.unionByName(open_.join(heads.select(*same, "edge_id"), same).select("edge_id", "chunk_id")).distinct()
+    of = judged.filter("action = 'duplicate'").join(exchanged(known), same).select("edge_id", "chunk_id")
+    of = of.unionByName(open_.join(exchanged(heads.select(*same, "edge_id")), same).select("edge_id", "chunk_id")).distinct()
 
     count = lambda c: F.count_if(c).cast("long")
     act, out = F.col("action"), F.col("outcome")

@@ -43,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. Sizes are guessed from the compressed files, before lists are exploded, so
+    a table that grows may seem small, and the driver would hold its rows and 34 MB more for every such join."""
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables, below the one all executors share."""
     ensure_checkpoint_dir(spark)

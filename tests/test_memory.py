@@ -206,6 +206,49 @@ def test_imports_and_exports(spark, rows, tmp_path):
     assert rows(R.missing(spark.createDataFrame([(1,), (1,), (7,), (7,), (None,)], "id long"), chunks)) == [(7,)]
 
 
+def test_linking_broadcasts_no_table(spark, entities, edges, monkeypatch):
+    """Whatever sizes are guessed from the files: only single rows and the sizes of tasks (next_ids) are broadcast."""
+    from lorebase.operators import curation as C
+
+    plans = []
+
+    def seen(df):
+        made = session.cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    from lorebase import session
+
+    for module in (L, C):
+        monkeypatch.setattr(module, "cut", seen)
+    proposals = spark.createDataFrame([(1, 10, "docker", "Tool", "existing", 0.9, None, None), (2, 10, "Zorp", "Tool", "new", 0.9, "z", None), (3, 10, "dockers", "Tool", "new", 0.9, "z", None)], "proposal_id long, chunk_id long, name string, entity_type string, match string, confidence double, summary string, reasoning string")
+    relations = spark.createDataFrame([(1, 10, "User", "docker", "uses", None, None), (2, 10, "User", "Zorp", "works_at", None, None)], "relation_id long, chunk_id long, source string, target string, relation_type string, description string, valid_from timestamp")
+    out = L.linked(proposals, relations, entities, spark.createDataFrame([("Noise", "Tool")], "name string, entity_type string"), edges)
+    out.counters.collect(), out.edge_links.collect()
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (out.counters, out.edge_links)]
+    assert len(plans) > 9
+    wide = [line for plan in plans for line in plan.splitlines() if "BroadcastExchange" in line and "IdentityBroadcastMode" not in line and "HashedRelationBroadcastMode(List(input[0, bigint" not in line]
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "__part" not in p] and not wide, wide
+
+
+def test_fuzzy_candidates_are_all_found(spark, rows):
+    import random
+
+    from lorebase.functions.text import trigram_similarity
+    from lorebase.operators.curation import fuzzy_candidates
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 6)))
+    name = lambda: " ".join(word() for _ in range(r.randint(1, 4)))
+    entities = spark.createDataFrame([(i, name(), r.choice(["Tool", "Place"])) for i in range(150)], "id long, name string, entity_type string")
+    asked = spark.createDataFrame([(i, name(), r.choice(["Tool", "Place"])) for i in range(150)], "proposal_id long, name string, entity_type string")
+    pairs = asked.join(entities.withColumnRenamed("name", "known"), "entity_type").withColumn("s", trigram_similarity("name", "known"))
+    for least in (0.3, 0.6):
+        found = fuzzy_candidates(asked, entities, least, 1_000).select("proposal_id", F.explode("fuzzy").alias("id"))
+        want = rows(pairs.filter(F.col("s") > least), "proposal_id", "id")
+        assert len(want) > 9 and rows(found) == want
+
+
 def test_results_in_lines(spark, rows, tmp_path, monkeypatch):
     import json
     from pathlib import Path
